@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, media, packing, quality
+from . import ann, langid, licenses, lines, media, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -11,9 +11,12 @@ def queries() -> dict:
         "op1_license_scan": lambda spark, d: licenses.op1(table(spark, d, "documents")),
         "op2_media_columns": lambda spark, d: media.op2(table(spark, d, "documents")),
         "op3_language_id": lambda spark, d: langid.op3(table(spark, d, "documents")),
+        "op4_simhash_dedup": lambda spark, d: simhash.op4(table(spark, d, "documents")),
         "op5_quality": lambda spark, d: quality.op5(table(spark, d, "documents"), table(spark, d, "labels")),
         "op7_nearest": lambda spark, d: ann.op7(table(spark, d, "embeddings")),
         "op8_packing": lambda spark, d: packing.op8(table(spark, d, "documents")),
+        "op9_line_dedup": lambda spark, d: lines.op9(table(spark, d, "documents")),
+        "op10_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
     }
 
 
