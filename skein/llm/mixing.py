@@ -99,12 +99,13 @@ def cuts(keyed: DataFrame, plan: Plan) -> DataFrame:
     return given.join(last, LEAF, "left").select(*LEAF, "full", "rest", F.col("last.key").alias("last_key"), F.col("last.doc_id").alias("last_id"), F.col("last.start").alias("last_start"))
 
 
-def select(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
+def choose(keyed: DataFrame, plan: Plan = PLAN) -> DataFrame:
     """doc_id, domain, language, source, tokens, epoch (from 0) and take_tokens: one row per epoch that takes the document.
 
+    keyed: what leaves() gives, stored, for it is read several times.
+
     take_tokens is less than tokens only for the document in which a leaf's budget ends.
     """
-    keyed = materialise(leaves(docs), "tokens")
     found = keyed.join(cuts(keyed, plan), LEAF).withColumn("key", order_key(plan))
     at, end = F.struct("key", "doc_id"), F.struct(F.col("last_key").alias("key"), F.col("last_id").alias("doc_id"))
     more = F.coalesce((F.col("rest") > 0) & (at <= end), F.lit(False))
@@ -117,4 +118,4 @@ def select(docs: DataFrame, plan: Plan = PLAN) -> DataFrame:
 
 def op10(docs: DataFrame) -> DataFrame:
     """The mixture of the whole table."""
-    return select(docs)
+    return choose(materialise(leaves(docs), "tokens"))

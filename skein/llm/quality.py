@@ -112,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns of keep and score (0 to 1, higher: label 1 likelier)."""
+    """doc_id, the columns of keep (a text is never null then) and score (0 to 1, higher: label 1 likelier)."""
     shared = docs.sparkSession.sparkContext.broadcast(model and tuple(model))
 
     def vote(batches):
@@ -133,7 +133,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> D
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *keep)), pa.array(out.astype(np.float64))], ["doc_id", *keep, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    return texts(docs, *keep).mapInArrow(vote, ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
+    return texts(docs, *(c for c in keep if c != "text")).mapInArrow(vote, ", ".join(["doc_id long", *(f"`{c}` {kinds[c]}" for c in keep), "score double"]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

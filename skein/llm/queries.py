@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, licenses, lines, media, mixing, packing, quality, simhash
+from . import ann, langid, licenses, lines, media, mixing, packing, quality, simhash, suffix
 from .common import table
 
 
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op3_language_id": lambda spark, d: langid.op3(table(spark, d, "documents")),
         "op4_simhash_dedup": lambda spark, d: simhash.op4(table(spark, d, "documents")),
         "op5_quality": lambda spark, d: quality.op5(table(spark, d, "documents"), table(spark, d, "labels")),
+        "op6_suffix_dedup": lambda spark, d: suffix.op6(table(spark, d, "documents")),
         "op7_nearest": lambda spark, d: ann.op7(table(spark, d, "embeddings")),
         "op8_packing": lambda spark, d: packing.op8(table(spark, d, "documents")),
         "op9_line_dedup": lambda spark, d: lines.op9(table(spark, d, "documents")),
