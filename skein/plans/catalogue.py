@@ -1,13 +1,136 @@
 """The queries registered for the driver, and their SQL."""
 
+from __future__ import annotations
 
-def entry(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'")
+import re
+from collections.abc import Callable
+from typing import Any, NamedTuple
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def queries():
-    return {}
+from skein.database import Database
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-def oracle_sql():
-    return {}
+
+class Case(NamedTuple):
+    """A query of the dialect with its arguments, and the same in DuckDB's SQL."""
+
+    sql: str
+    oracle: str
+    args: tuple = ()
+    named: dict[str, Any] = {}
+    prepared: bool = False
+
+
+def database(spark: SparkSession, sf_dir: str, sql: str) -> Database:
+    """A database with the tables that a query names."""
+    db = Database(spark)
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", sql):
+            db.register_parquet(name, f"{sf_dir}/{name}.parquet")
+    if "event_props" in sql:
+        raw = spark.read.parquet(f"{sf_dir}/events.parquet")
+        db.register("event_props", raw.select("event_id", F.from_json("props", "struct<k:bigint>").alias("props"), F.from_json("props", "map<string,bigint>").alias("entries"), F.parse_json("props").alias("any")))
+    db.register_function("prefix", 1, 1, "string", eval=lambda s: None if s is None else "x-" + s)
+    db.register_function("shout", 1, 1, "string", native=lambda s: f"upper({s})")
+    return db
+
+
+def run(spark: SparkSession, sf_dir: str, case: Case) -> DataFrame:
+    db = database(spark, sf_dir, case.sql)
+    if case.prepared:
+        return db.prepare(case.sql).query(db, *case.args, **case.named).df
+    return db.query(case.sql, *case.args, **case.named).df
+
+
+LEFT = "from orders o left join customer c on o.o_custkey = c.c_custkey and c.c_nationkey < 10"
+CASES: dict[str, Case] = {
+    "q_first": Case("select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R' order by l_orderkey asc, l_linenumber asc limit 20", "select l_orderkey, l_linenumber, l_quantity from lineitem where l_returnflag = 'R' order by 1, 2 limit 20"),
+    "q_project_arith": Case("select o_orderkey, o_custkey * 2 + 1 as a, -o_custkey as b, o_orderkey / 7 as c, -o_orderkey / 7 - 3 as d from orders", "select o_orderkey, o_custkey * 2 + 1 as a, -o_custkey as b, o_orderkey // 7 as c, -o_orderkey // 7 - 3 as d from orders"),
+    "q_wildcard": Case("select *, n_nationkey as again from nation", "select *, n_nationkey as again from nation"),
+    "q_float_args": Case("select l_orderkey, l_linenumber, l_extendedprice * (@one - l_discount) as rev from lineitem where l_quantity > ?", "select l_orderkey, l_linenumber, l_extendedprice * (1.0::double - l_discount) as rev from lineitem where l_quantity > 24", (24.0,), {"one": 1.0}),
+    "q_float_divide": Case("select l_orderkey, l_linenumber, l_extendedprice / l_quantity as price from lineitem", "select l_orderkey, l_linenumber, l_extendedprice / l_quantity as price from lineitem"),
+    "q_no_promotion": Case("select l_orderkey from lineitem where l_quantity > 24", "select l_orderkey from lineitem where false"),
+    "q_filter_and_or_not": Case("select o_orderkey from orders where (o_orderstatus = 'F' or o_orderpriority != '1-URGENT') and not o_custkey < 50", "select o_orderkey from orders where (o_orderstatus = 'F' or o_orderpriority <> '1-URGENT') and not o_custkey < 50"),
+    "q_in": Case("select o_orderkey from orders where o_orderstatus in ('F', 'P')", "select o_orderkey from orders where o_orderstatus in ('F', 'P')"),
+    "q_not_in": Case("select o_orderkey from orders where o_orderstatus not in ('F', 'P')", "select o_orderkey from orders where o_orderstatus not in ('F', 'P')"),
+    "q_in_null": Case("select o_orderkey, o_orderstatus in ('F', null) as a, o_orderstatus not in ('F', null) as b from orders", "select o_orderkey, o_orderstatus = 'F' as a, o_orderstatus <> 'F' as b from orders"),
+    "q_in_subquery_item": Case("select o_orderkey from orders where o_custkey in ((select max(c_custkey) from customer), 7)", "select o_orderkey from orders where o_custkey in ((select max(c_custkey) from customer), 7)"),
+    "q_is_null": Case(f"select o.o_orderkey, c.c_name is null as missing {LEFT} where c.c_custkey is null or c.c_mktsegment is not null", f"select o.o_orderkey, c.c_name is null as missing {LEFT}"),
+    "q_is_expr": Case("select n_name, n_regionkey is 2 as a, n_regionkey is not n_nationkey as b from nation", "select n_name, n_regionkey = 2 as a, n_regionkey is distinct from n_nationkey as b from nation"),
+    "q_two_valued_not": Case(f"select o.o_orderkey {LEFT} where not c.c_mktsegment = 'BUILDING'", f"select o.o_orderkey {LEFT} where not coalesce(c.c_mktsegment = 'BUILDING', false)"),
+    "q_inner": Case("select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'", "select o_orderkey, c_name from orders join customer on o_custkey = c_custkey where c_mktsegment = 'BUILDING'"),
+    "q_left": Case(f"select o.o_orderkey, c.c_name {LEFT}", f"select o.o_orderkey, c.c_name {LEFT}"),
+    "q_right": Case("select o.o_orderkey, c.c_custkey from orders o right join customer c on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P'", "select o.o_orderkey, c.c_custkey from orders o right join customer c on o.o_custkey = c.c_custkey and o.o_orderstatus = 'P'"),
+    "q_cross": Case("select n_name, r_name from nation, region", "select n_name, r_name from nation, region"),
+    "q_theta": Case("select n.n_name, r.r_name from nation n join region r on n.n_regionkey < r.r_regionkey", "select n.n_name, r.r_name from nation n join region r on n.n_regionkey < r.r_regionkey"),
+    "q_selfjoin": Case("select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey", "select a.n_name as x, b.n_name as y from nation a join nation b on a.n_regionkey = b.n_regionkey and a.n_nationkey < b.n_nationkey"),
+    "q_multi": Case(
+        "select r_name, count(*) as n, count(distinct o_custkey) as customers from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where l_returnflag = 'R' group by r_name",
+        "select r_name, count(*) as n, count(distinct o_custkey) as customers from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey where l_returnflag = 'R' group by r_name",
+    ),
+    "q_derived": Case("select c.c_name, t.n from customer c join (select o_custkey, count(*) as n from orders group by o_custkey) as t on t.o_custkey = c.c_custkey", "select c.c_name, t.n from customer c join (select o_custkey, count(*) as n from orders group by o_custkey) as t on t.o_custkey = c.c_custkey"),
+    "q_group_all": Case(
+        "select l_returnflag, l_linestatus, count(*) as n, sum(l_linenumber) as s, avg(l_linenumber) as a, min(l_quantity) as lo, max(l_shipdate) as hi from lineitem group by l_returnflag, l_linestatus",
+        "select l_returnflag, l_linestatus, count(*) as n, cast(sum(l_linenumber) as bigint) as s, avg(l_linenumber) as a, min(l_quantity) as lo, max(l_shipdate) as hi from lineitem group by l_returnflag, l_linestatus",
+    ),
+    "q_global": Case("select count(*) as n, sum(o_custkey) as s, max(o_orderdate) as d from orders where o_orderkey < 0", "select count(*) as n, cast(sum(o_custkey) as bigint) as s, max(o_orderdate) as d from orders where o_orderkey < 0"),
+    "q_count_distinct": Case("select l_returnflag, count(distinct l_suppkey) as n from lineitem group by l_returnflag", "select l_returnflag, count(distinct l_suppkey) as n from lineitem group by l_returnflag"),
+    "q_sum_avg_distinct": Case("select sum(distinct p_size) as s, avg(distinct p_size) as a, min(distinct p_size) as lo from part", "select cast(sum(distinct p_size) as bigint) as s, avg(distinct p_size) as a, min(p_size) as lo from part"),
+    "q_group_null": Case(f"select c.c_mktsegment, count(*) as n {LEFT} group by c.c_mktsegment", f"select c.c_mktsegment, count(*) as n {LEFT} group by c.c_mktsegment"),
+    "q_having": Case("select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 12 and max(o_orderstatus) = 'P'", "select o_custkey, count(*) as n from orders group by o_custkey having count(*) > 12 and max(o_orderstatus) = 'P'"),
+    "q_having_alone": Case("select max(n_name) as n from nation having count(*) > 100", "select max(n_name) as n from nation having count(*) > 100"),
+    "q_agg_expr": Case("select o_orderstatus, sum(o_custkey) / count(*) as m, len(min(o_orderpriority)) as l from orders group by o_orderstatus", "select o_orderstatus, cast(sum(o_custkey) // count(*) as bigint) as m, strlen(min(o_orderpriority)) as l from orders group by o_orderstatus"),
+    "q_group_by_expr": Case("select o_custkey / 100 as bucket, count(*) as n from orders group by o_custkey / 100", "select o_custkey // 100 as bucket, count(*) as n from orders group by 1"),
+    "q_agg_order": Case("select o_custkey, count(*) as n from orders group by o_custkey order by count(*) desc, o_custkey asc limit 10", "select o_custkey, count(*) as n from orders group by o_custkey order by n desc, o_custkey limit 10"),
+    "q_minmax_types": Case("select min(o_orderpriority) as a, max(o_orderdate) as b, min(o_totalprice) as c from orders", "select min(o_orderpriority) as a, max(o_orderdate) as b, min(o_totalprice) as c from orders"),
+    "q_distinct": Case("select distinct l_returnflag, l_linestatus from lineitem", "select distinct l_returnflag, l_linestatus from lineitem"),
+    "q_distinct_order_other": Case("select distinct l_returnflag from lineitem order by l_orderkey desc limit 3", "select l_returnflag from lineitem group by 1 order by max(l_orderkey) desc limit 3"),
+    "q_sort_multi": Case("select p_brand, p_size, p_partkey from part order by p_brand desc, p_size, p_partkey limit 100", "select p_brand, p_size, p_partkey from part order by p_brand desc, p_size, p_partkey limit 100"),
+    "q_topn": Case("select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 7", "select o_orderkey, o_totalprice from orders order by o_totalprice desc, o_orderkey limit 7"),
+    "q_limit_arg": Case("select o_orderkey from orders order by o_orderkey limit @n", "select o_orderkey from orders order by o_orderkey limit 5", (), {"n": 5}),
+    "q_order_alias": Case("select -o_orderkey as o_orderkey from orders order by o_orderkey limit 5", "select -o_orderkey as o_orderkey from orders order by 1 limit 5"),
+    "q_order_const": Case("select n_name, n_nationkey from nation order by 1, n_nationkey desc limit 4", "select n_name, n_nationkey from nation order by n_nationkey desc limit 4"),
+    "q_order_nulls": Case("select r.r_name, n.n_name from region r left join nation n on n.n_regionkey = r.r_regionkey and n.n_nationkey < 3 order by n.n_name desc, r.r_name limit 4", "select r.r_name, n.n_name from region r left join nation n on n.n_regionkey = r.r_regionkey and n.n_nationkey < 3 order by n.n_name desc nulls last, r.r_name limit 4"),
+    "q_scalar_uncorr": Case("select p_partkey from part where p_retailprice = (select max(p_retailprice) from part)", "select p_partkey from part where p_retailprice = (select max(p_retailprice) from part)"),
+    "q_scalar_corr": Case("select c_custkey, (select max(o_orderkey) from orders where o_custkey = c_custkey) as last_order from customer", "select c_custkey, (select max(o_orderkey) from orders where o_custkey = c_custkey) as last_order from customer"),
+    "q_corr_nonequi": Case("select a.n_name, (select min(b.n_name) from nation b where b.n_nationkey > a.n_nationkey) as m from nation a", "select a.n_name, (select min(b.n_name) from nation b where b.n_nationkey > a.n_nationkey) as m from nation a"),
+    "q_corr_count": Case("select c_custkey, (select count(*) from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P') as n from customer c", "select c_custkey, (select count(*) from orders o where o.o_custkey = c.c_custkey and o.o_orderstatus = 'P') as n from customer c"),
+    "q_sub_where": Case("select o_orderkey from orders o where o.o_totalprice > (select avg(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey) and o.o_orderstatus = 'F'", "select o_orderkey from orders o where o.o_totalprice > (select avg(i.o_totalprice) from orders i where i.o_custkey = o.o_custkey) and o.o_orderstatus = 'F'"),
+    "q_sub_having": Case("select n_regionkey, count(*) as n from nation group by n_regionkey having count(*) >= (select count(*) from region)", "select n_regionkey, count(*) as n from nation group by n_regionkey having count(*) >= (select count(*) from region)"),
+    "q_sub_order": Case("select n_name from nation n order by (select r.r_name from region r where r.r_regionkey = n.n_regionkey) desc, n_name limit 6", "select n_name from nation join region on r_regionkey = n_regionkey order by r_name desc, n_name limit 6"),
+    "q_sub_aggselect": Case("select n.n_regionkey, (select r.r_name from region r where r.r_regionkey = n.n_regionkey) as r, count(*) as n from nation n group by n.n_regionkey", "select n_regionkey, r_name as r, count(*) as n from nation join region on r_regionkey = n_regionkey group by 1, 2"),
+    "q_sub_on": Case("select n.n_name, r.r_name from nation n join region r on r.r_regionkey = (select max(x.r_regionkey) from region x where x.r_regionkey <= n.n_nationkey)", "select n.n_name, r.r_name from nation n join region r on r.r_regionkey = least(n.n_nationkey, 4)"),
+    "q_unnest_inner": Case("select e.label, count(*) as n, max(x.value) as hi from embeddings e join unnest(e.embedding) x on true group by e.label", "select label, count(*) as n, max(v) as hi from (select label, unnest(embedding) as v from embeddings) group by label"),
+    "q_unnest_left": Case("select e.vec_id, x.value from embeddings e left join unnest(e.embedding) x on x.value > ?", "select e.vec_id, x.v as value from embeddings e left join (select vec_id, unnest(embedding) as v from embeddings) x on x.vec_id = e.vec_id and x.v > 0.25", (0.25,)),
+    "q_unnest_group": Case("select x.value is null as none, count(*) as n from embeddings e left join unnest(e.embedding) x on x.value > ? group by x.value is null", "select x.v is null as none, count(*) as n from embeddings e left join (select vec_id, unnest(embedding) as v from embeddings) x on x.vec_id = e.vec_id and x.v > 0.3 group by 1", (0.3,)),
+    "q_unnest_arg": Case("select n.n_name, k.value from nation n join unnest(?) k on k.value = n.n_nationkey", "select n_name, cast(n_nationkey as bigint) as value from nation where n_nationkey in (1, 3, 5)", ([1, 3, 5, 99],)),
+    "q_len": Case("select doc_id, len(text) as n from documents", "select doc_id, strlen(text) as n from documents"),
+    "q_len_array": Case("select vec_id, len(embedding) as n from embeddings", "select vec_id, len(embedding) as n from embeddings"),
+    "q_contains_str": Case("select p_partkey, contains(p_name, 'a') as a from part where contains(p_type, 'S')", "select p_partkey, contains(p_name, 'a') as a from part where contains(p_type, 'S')"),
+    "q_contains_arr": Case("select n_name from nation where contains(?, n_name)", "select n_name from nation where n_name in ('FRANCE', 'CHINA', 'NATION_3')", (["FRANCE", "CHINA", "NATION_3"],)),
+    "q_nested_path": Case("select event_id, p.props.k as k from event_props p where props.k > 50", "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where cast(json_extract(props, '$.k') as bigint) > 50"),
+    "q_map_path": Case("select event_id, entries.k as k, entries.other as o from event_props", "select event_id, cast(json_extract(props, '$.k') as bigint) as k, cast(null as bigint) as o from events"),
+    "q_any_path": Case("select event_id from event_props e where e.any.k = 7", "select event_id from events where cast(json_extract(props, '$.k') as bigint) = 7"),
+    "q_udf": Case("select n_nationkey, prefix(n_name) as a, shout(n_name) as b from nation", "select n_nationkey, 'x-' || n_name as a, upper(n_name) as b from nation"),
+    "q_named_args": Case("select o_orderkey, @label as label from orders where o_custkey = @who and o_orderstatus != ?", "select o_orderkey, 'chosen' as label from orders where o_custkey = 10 and o_orderstatus <> 'F'", ("F",), {"label": "chosen", "who": 10}),
+    "q_prepared": Case("select event_type, count(*) as n from events where user_id > ? group by event_type", "select event_type, count(*) as n from events where user_id > 20 group by event_type", (20,), {}, True),
+    "q_bench_filter_topn": Case("select l_orderkey, l_linenumber, l_shipdate from lineitem where l_returnflag = 'N' and l_linestatus = 'O' and l_linenumber = 1 order by l_shipdate desc, l_orderkey limit 20", "select l_orderkey, l_linenumber, l_shipdate from lineitem where l_returnflag = 'N' and l_linestatus = 'O' and l_linenumber = 1 order by l_shipdate desc, l_orderkey limit 20"),
+    "q_bench_distinct": Case("select distinct event_type from events order by event_type asc", "select distinct event_type from events"),
+    "q_bench_group_distinct": Case("select event_type, count(distinct user_id) as n from events where event_id > 10 group by event_type order by event_type asc", "select event_type, count(distinct user_id) as n from events where event_id > 10 group by event_type"),
+}
+
+
+def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship query."""
+    return run(spark, sf_dir, CASES["q_multi"])
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: lambda spark, d, case=case: run(spark, d, case) for name, case in CASES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: case.oracle for name, case in CASES.items()}
