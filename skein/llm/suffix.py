@@ -1,9 +1,10 @@
 """Suffix-array dedup: bytes of every repeated string of at least MIN_LENGTH bytes, but the first occurrence, go.
 
 1. Winnowing picks an anchor, the smallest hash of GRAM bytes, in each window of MIN_LENGTH bytes; equal windows
-   pick equal anchors. Neighbouring windows with one anchor form a run; runs whose anchor stands once in the
-   corpus hold no repeat and are left out.
-2. A run's bytes travel to its anchor's group. Equal runs collapse before that; all but the earliest are repeats.
+   pick equal anchors. Neighbouring windows with equal anchors form a run; short runs whose anchor no other run in
+   the corpus has hold no repeat and are left out.
+2. A run's bytes travel to its anchor's group. Equal runs collapse, in each task before that and in the group; all
+   but the earliest are repeats.
 3. A batch of groups is one text. Its suffixes are sorted by prefix doubling; on the Burrows-Wheeler transform a
    breadth-first backward extension grows the intervals of strings that occur twice or more, STEP bytes at a time,
    and so by increasing common prefix, until MIN_LENGTH bytes. Each interval then left is a repeated
@@ -25,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mixed, n_tasks, ragged, release, slices, texts
+from .common import discard, materialise, mixed, n_tasks, ragged, slices, texts
 
 MIN_LENGTH = 100
 GRAM = 32
 STEP = 8
 #: Bytes of text of one Burrows-Wheeler transform, about.
-BATCH = 2 << 20
+BATCH = 1 << 20
 #: Distinct runs of one anchor beyond which its group is dealt out in blocks.
 GROUP = 8192
+#: Groups dealt out in blocks that may be broadcast as a list.
+BROADCAST_ROWS = 100_000
 #: Stands after each run; no byte of UTF-8.
 END = 0xFF
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -49,6 +52,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up), np.cumprod(down)
 
 
+def span_of(length: int) -> int:
+    """Grams, and so windows that one anchor can serve, in a window. A longer run holds its anchor more than once."""
+    return length - min(GRAM, length // 2) + 1
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
     """Anchor (hash), row, start within the row and number of windows of each run."""
     gram = min(GRAM, length // 2)
@@ -62,7 +70,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.nd
     h = mixed((total[gram:] - total[: n - gram + 1]) * down[: n - gram + 1])
     low = np.uint64((1 << _POSITION_BITS) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-    width, span = 1, length - gram + 1
+    width, span = 1, span_of(length)
     while width * 2 <= span:
         key = np.minimum(key[:-width], key[width:])
         width *= 2
@@ -72,11 +80,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.nd
     starts = ragged(offsets[:-1], np.maximum(np.diff(offsets) - length + 1, 0))
     if not len(starts):
         return empty
-    anchor = at[starts]
+    anchor = h[at[starts]]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
     begin = starts[first]
     row = np.searchsorted(offsets, begin, "right") - 1
-    return h[anchor[first]].view(np.int64), row, begin - offsets[row], np.diff(np.concatenate((first, [len(starts)])))
+    return anchor[first].view(np.int64), row, begin - offsets[row], np.diff(np.concatenate((first, [len(starts)])))
 
 
 def _cut_long(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length: int):
@@ -156,34 +164,40 @@ def _collapsed(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     return docs.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "runs").mapInArrow(emit, _FOUND)
 
 
-def _packed(text: np.ndarray, n: int) -> np.ndarray:
-    """At each position, the next n (8 at most) bytes as a number in their order."""
-    padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    out = np.zeros(len(text), np.uint64)
-    for i in range(n):
-        out = out << np.uint64(8) | padded[i : i + len(text)]
-    return out
-
-
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in the order of their first depth bytes at least, by prefix doubling from eight bytes."""
-    key, known = _packed(text, 8), 8
-    order = np.argsort(key, kind="stable")
-    while True:
-        ordered = key[order]
-        new = np.concatenate(([False], ordered[1:] != ordered[:-1]))
-        rank = np.empty(len(text), np.uint64)
-        rank[order] = np.cumsum(new).astype(np.uint64)
-        if known >= depth or new[1:].all():
-            return order
-        after = np.zeros(len(text), np.uint64)
-        after[:-known] = rank[known:] + np.uint64(1)
-        key = rank << np.uint64(32) | after
-        # only suffixes that share their rank with another can still move
-        tied = np.flatnonzero(~new | ~np.concatenate((new[1:], [True])))
+def _packed(text: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
+    """The n (8 at most) bytes from each position on as a number in their order. The text has 8 bytes to spare."""
+    wide = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
+    return wide[at].astype(np.uint64) >> np.uint64(64 - 8 * n)
+
+
+def suffix_order(spare: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in the order of their first depth bytes at least, by prefix doubling from eight bytes, and their places."""
+    key, known = _packed(spare, slice(0, n), 8), 8
+    order = np.argsort(key).astype(np.int32)
+    ordered = key[order]
+    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+    rank = np.empty(n + 1, np.int64)
+    rank[n] = -1
+    # a rank is the first place of its equals, so that it stays while they are sorted on
+    first = np.flatnonzero(new)
+    rank[order] = np.repeat(first, np.diff(np.append(first, n)))
+    tied = np.flatnonzero(~new | ~np.append(new[1:], True))
+    while known < depth and len(tied):
         moved = order[tied]
-        order[tied] = moved[np.argsort(key[moved], kind="stable")]
+        group = rank[moved]
+        key = (group << 32) + rank[np.minimum(moved + known, n)] + 1
+        sort = np.argsort(key)
+        moved, key = moved[sort], key[sort]
+        order[tied] = moved
+        fresh = np.concatenate(([True], key[1:] != key[:-1]))
+        first = np.flatnonzero(fresh)
+        size = np.diff(np.append(first, len(key)))
+        rank[moved] = np.repeat(tied[first], size)
+        tied = tied[np.repeat(size > 1, size)]
         known *= 2
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
+    return order, place
 
 
 def repeated(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -193,37 +207,32 @@ def repeated(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     that hold END are none; the text ends with END.
     """
     n = len(text)
-    order = suffix_order(text, length)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    ends = np.concatenate(([0], np.cumsum(text == END)))
-    rows, parent, grown = np.arange(n), np.zeros(n, np.int64), 0
+    spare = np.concatenate((text, np.zeros(8, np.uint8)))
+    order, place = suffix_order(spare, n, length)
+    # a string of so many bytes begins where no END follows nearer; what stands before it then ends there too
+    ends = np.flatnonzero(text == END)
+    room = np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(n)
+    begins = np.concatenate(([0], ends[:-1] + 1))
+    past = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+    # rows are those of suffixes with enough before them for the string still to be completed
+    rows = np.flatnonzero((past + room >= length)[order])
+    parent, grown = np.zeros(len(rows), np.int32), 0
     while grown < length and len(rows):
-        step = min(STEP, length - grown)
-        if grown == 0 and length % STEP:
-            step = length % STEP
-        before = order[rows] - step
-        fine = before >= 0
-        before, parent = before[fine], parent[fine]
-        fine = ends[before + step] == ends[before]
-        before, parent = before[fine], parent[fine]
-        letter = _packed_at(text, before, step)
+        step = length % STEP if grown == 0 and length % STEP else min(STEP, length - grown)
+        at = order[rows]
+        # within its run the string must end at, and grow from, here
+        fine = past[at] >= step
+        before, parent = at[fine] - step, parent[fine]
         rows = place[before]
-        sort = np.argsort(rows, kind="stable")
-        rows, parent, letter = rows[sort], parent[sort], letter[sort]
-        new = np.concatenate(([True], (parent[1:] != parent[:-1]) | (letter[1:] != letter[:-1]))) if len(rows) else np.empty(0, bool)
-        interval = np.cumsum(new) - 1
-        twice = np.bincount(interval)[interval] > 1 if len(rows) else np.empty(0, bool)
-        rows, parent = rows[twice], interval[twice]
+        sort = np.argsort(rows)
+        rows, parent, letter = rows[sort], parent[sort], _packed(spare, before[sort], step)
+        new = np.concatenate(([True], (parent[1:] != parent[:-1]) | (letter[1:] != letter[:-1])))
+        first = np.flatnonzero(new)
+        size = np.diff(np.append(first, len(rows)))
+        twice = np.repeat(size > 1, size)
+        rows, parent = rows[twice], np.repeat(np.arange(len(size), dtype=np.int32), size)[twice]
         grown += step
-    return parent, order[rows] if len(rows) else rows
-
-
-def _packed_at(text: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    out = np.zeros(len(at), np.uint64)
-    for i in range(n):
-        out = out << np.uint64(8) | text[at + i]
-    return out
+    return parent, order[rows].astype(np.int64)
 
 
 def repeats_of(found: list[bytes], doc_id: np.ndarray, th: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
@@ -254,30 +263,61 @@ def repeats_of(found: list[bytes], doc_id: np.ndarray, th: np.ndarray, start: np
 
 def _by_group(runs_: DataFrame, length: int) -> DataFrame:
     """doc_id, th, start, n of the repeats among runs, found within each anchor's group."""
-    big = runs_.groupBy("anchor").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / GROUP).cast("int"))
-    dealt = runs_.join(big, "anchor").withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.col("blocks")).cast("int"))
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "block").alias("a"), F.greatest(k, "block").alias("b"))))
-    dealt = dealt.withColumn("pair", pair).select("anchor", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "run", "doc_id", "th", "start")
-    dealt = dealt.repartition(n_tasks(runs_.sparkSession), "anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
+    spark = runs_.sparkSession
+    big = materialise(runs_.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("blocks > 1"), "groups")
+    n_big, lone = big.count(), F.lit(0).cast("int")
+    if n_big:
+        # a broadcast only of a list that has been counted
+        dealt = runs_.join(F.broadcast(big) if n_big <= BROADCAST_ROWS else big, "anchor", "left")
+        block = F.pmod(F.xxhash64("doc_id", "start"), F.col("blocks")).cast("int")
+        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("a"), F.greatest(k, block).alias("b")))
+        dealt = dealt.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(lone.alias("a"), lone.alias("b")))).otherwise(pairs)))
+        dealt = dealt.select("anchor", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "run", "doc_id", "th", "start")
+    else:
+        dealt = runs_.select("anchor", lone.alias("a"), lone.alias("b"), "run", "doc_id", "th", "start")
+    dealt = dealt.repartition(n_tasks(spark), "anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
 
     def search(batches):
-        held: list[tuple] = []
-        size, last = 0, None
+        held: list[tuple] = []  # distinct runs of groups that have two or more, or a run that may hold repeats of its own
+        late: list[tuple] = []  # repeats of whole runs
+        group: dict[bytes, tuple] = {}
+        size, last, span = 0, None, span_of(length)
+
+        def close():
+            nonlocal size
+            if len(group) > 1 or any(len(run) - length + 1 > span for run in group):
+                held.extend((run, *place) for run, place in group.items())
+                size += sum(map(len, group)) + len(group)
+            group.clear()
 
         def done():
-            found, doc_id, th, start = zip(*held, strict=True)
-            d, t, s, n = repeats_of(list(found), *(np.array(x, np.int64) for x in (doc_id, th, start)), length)
-            return pa.RecordBatch.from_arrays([pa.array(d), pa.array(t), pa.array(s), pa.array(n.astype(np.int32))], ["doc_id", "th", "start", "n"])
+            columns = [np.array(x, np.int64) for x in zip(*late, strict=True)] or [np.empty(0, np.int64)] * 4
+            if held:
+                found, doc_id, start, th = zip(*held, strict=True)
+                more = repeats_of(list(found), *(np.array(x, np.int64) for x in (doc_id, th, start)), length)
+                columns = [np.concatenate(x) for x in zip(columns, more, strict=True)]
+            held.clear()
+            late.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns[:3]] + [pa.array(columns[3].astype(np.int32))], ["doc_id", "th", "start", "n"])
 
         for batch in batches:
             for anchor, a, b, run, doc_id, th, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if size > BATCH and (anchor, a, b) != last:
-                    yield done()
-                    held, size = [], 0
-                held.append((run, doc_id, th, start))
-                size += len(run) + 1
-                last = (anchor, a, b)
-        if held:
+                if (anchor, a, b) != last:
+                    close()
+                    last = (anchor, a, b)
+                    if size > BATCH or len(late) > 100_000:
+                        yield done()
+                        size = 0
+                place, other = (doc_id, start, th), group.get(run)
+                if other is None:
+                    group[run] = place
+                    continue
+                if place < other:
+                    group[run], place = place, other
+                if place[:2] != group[run][:2]:
+                    late.append((place[0], place[2], place[1], len(run) - length + 1))
+        close()
+        if held or late:
             yield done()
 
     return dealt.mapInArrow(search, "doc_id long, th long, start long, n int")
@@ -285,19 +325,20 @@ def _by_group(runs_: DataFrame, length: int) -> DataFrame:
 
 def repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     """doc_id, th and spans (start, end, in bytes; they may overlap) of texts with repeats. docs: doc_id, text, th."""
-    spark = docs.sparkSession
     every = materialise(_anchors(docs, length), "runs")
     twice = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    wanted = every.join(twice, "anchor", "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
+    wide = F.col("n") > span_of(length)
+    some = every.where(~wide).join(twice, "anchor", "left_semi").unionByName(every.where(wide))
+    wanted = some.groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
     wanted = materialise(wanted, "wanted")
-    release(spark)
+    discard(every)
     found = materialise(_collapsed(docs, wanted, length), "collapsed")
-    release(spark)
+    discard(wanted)
     late = _by_group(found.where("NOT span").drop("span", "n"), length)
     spans = found.where("span").select("doc_id", "th", "start", "n").unionByName(late)
     spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("spans"))
     spans = materialise(spans, "spans")
-    release(spark)
+    discard(found)
     return spans
 
 
