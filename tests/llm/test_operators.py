@@ -1,0 +1,275 @@
+"""The other operators against brute force, on small tables with every odd case."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+
+from skein.llm import ann, graph, langid, licenses, lines, media, mixing, packing, quality, simhash
+from skein.llm.queries import queries
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, words string, fp string, score string, tokens string"
+
+
+def frame(spark, docs):
+    """docs: (doc_id, text, lang, source); columns with clashing names are added."""
+    return spark.createDataFrame([(*d, len(d[1] or ""), *["clash"] * 4) for d in docs], SCHEMA).repartition(3)
+
+
+def some_docs(seed=0, n=60):
+    rng = random.Random(seed)
+    vocabulary = {"en": ["the", "thing", "of", "wh", "and", "ought"], "de": ["der", "über", "straße", "und", "schön"]}
+    say = lambda lang, k: " ".join(rng.choice(vocabulary[lang]) for _ in range(k))
+    docs = [(i, say(lang := rng.choice(["en", "de"]), rng.randint(1, 60)), lang, rng.choice(["src0", "src1", "src2"])) for i in range(n)]
+    odd = ["", None, "   ", "12 34 !!", "All rights reserved.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "K Kelvin cc by cc  BY", "é" * 3000, docs[3][1], docs[3][1], "<|endoftext|> x  y <|endoftext|>", "a\x00b c", say("en", 5000)]
+    return docs + [(n + i, t, None if i % 2 else "en", None if i % 3 else "src1") for i, t in enumerate(odd)]
+
+
+def test_licenses(spark):
+    docs = some_docs()
+    con = duckdb.connect()
+    import pandas as pd
+
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text", "lang", "source"]))
+    clean = lambda rows: sorted(tuple(None if v != v or v is None else v for v in r) for r in rows)
+    got = licenses.op1(frame(spark, docs))
+    assert clean(got.collect()) == clean(con.sql(licenses.oracle()).select(*got.columns).fetchall())
+    by_id = {r["doc_id"]: r for r in got.collect()}
+    for doc_id, text, *_ in docs:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+        places = [(i, label) for phrase, label in (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")) for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+        row = by_id[doc_id]
+        assert (row["n_words"], row["n_base"], row["base_labels"]) == (len(words), len(places), ",".join(sorted({x for _, x in places})))
+        assert (row["first_word"], row["last_word"]) == (min(p for p, _ in places) if places else None, max(p for p, _ in places) if places else None)
+    assert licenses.op1(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_media(spark):
+    docs = some_docs()
+    manifest = media.store(frame(spark, docs))
+    rows = {r["doc_id"]: r for r in media.read_back(manifest).collect()}
+    for doc_id, text, *_ in docs:
+        raw = (text or "").encode()
+        payload = raw + bytes((-len(raw)) % 64 or (0 if raw else 64))
+        row = rows[doc_id]
+        assert (row["n_bytes"], row["payload_bytes"], row["payload_sha256"], row["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    heads = {r["doc_id"]: r for r in media.metadata(manifest).collect()}
+    assert all(heads[i]["width"] == 64 and heads[i]["height"] * 64 == rows[i]["payload_bytes"] for i in rows)
+    assert media.op2(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_language(spark):
+    docs = some_docs(n=400)
+    rows = {r["doc_id"]: r for r in langid.op3(frame(spark, docs)).collect()}
+    assert len(rows) == len(docs)
+    for doc_id, text, lang, _ in docs:
+        row = rows[doc_id]
+        assert row["held_out"] == (zlib.crc32(str(doc_id).encode()) % 4 == 2) and 0 <= row["score"] <= 1
+        assert (row["lang_pred"] == "und") == (not any(c.isalpha() for c in text or ""))
+    held = [(rows[i]["lang_pred"], lang) for i, text, lang, _ in docs[:400] if rows[i]["held_out"]]
+    assert np.mean([a == b for a, b in held]) > 0.95
+    assert {r["lang_pred"] for r in langid.predict(frame(spark, docs), None).collect()} == {"und"}
+    assert langid.op3(frame(spark, docs).limit(0)).count() == 0
+
+
+def brute_fingerprint(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text.translate({c: c + 32 for c in range(65, 91)}))
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] if len(words) >= 3 else [" ".join(words)] if words else []
+    ones = Counter(b for s in shingles for b in range(64) if xxhash.xxh64_intdigest(s.encode(), 42) >> b & 1)
+    return sum(1 << b for b in range(64) if 2 * ones[b] > len(shingles))
+
+
+def roots(nodes, linked):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for a, b in linked:
+        a, b = sorted((find(a), find(b)))
+        parent[b] = a
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash(spark):
+    docs = some_docs(n=80)
+    long = docs[-1][1].split()
+    docs += [(200 + i, " ".join(w for k, w in enumerate(long) if k != 7 * i), "en", None) for i in range(40)]
+    prints = {d[0]: brute_fingerprint(d[1] or "") for d in docs}
+    want = roots(prints, [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 3])
+    rows = simhash.op4(frame(spark, docs)).collect()
+    assert {r["doc_id"]: (int(r["fingerprint"], 16), r["component_id"]) for r in rows} == {i: (prints[i], want[i]) for i in prints}
+    assert all(len(r["fingerprint"]) == 16 for r in rows)
+    assert simhash.op4(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_golay_tables_miss_no_pair_within_reach(spark):
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    flipped = base.copy()
+    for n in range(3):
+        flipped[n * 100 :] ^= np.uint64(1) << rng.integers(0, 64, 300 - n * 100, dtype=np.uint64)
+    both = np.unique(np.concatenate((base, flipped))).view(np.int64)
+    fps = spark.createDataFrame([(int(x),) for x in both], "fp long")
+    linked = roots([int(x) for x in both], [(r["a"], r["b"]) for r in simhash.links(fps).collect()])
+    for a, b in zip(base.view(np.int64).tolist(), flipped.view(np.int64).tolist(), strict=True):
+        assert linked[a] == linked[b]
+
+
+def test_components_of_a_chain(spark):
+    rng = random.Random(2)
+    order = rng.sample(range(1000), 400)
+    linked = list(zip(order[:300], order[1:301], strict=False)) + [(order[350], order[360])]
+    edges = spark.createDataFrame([(max(x), min(x)) for x in linked], "a long, b long").repartition(8)
+    want = roots({n for x in linked for n in x}, linked)
+    got = {r["node"]: r["root"] for r in graph.components(edges).collect()}
+    assert got == {n: r for n, r in want.items() if n != r}
+
+
+def test_quality(spark):
+    rng = random.Random(1)
+    docs = [(i, " ".join(rng.choice(["the", "of", "thing"]) + ("!!" if i % 3 == 0 else "") for _ in range(rng.randint(5, 50))), None, None) for i in range(300)] + [(300, None, None, None), (301, "", None, None), (302, "x", None, None)]
+    labels = spark.createDataFrame([(i, int(i % 3 != 0)) for i in range(300)] + [(None, 1), (5, None), (5, 1)], "doc_id long, quality int")
+    rows = {r["doc_id"]: r for r in quality.op5(frame(spark, docs), labels).collect()}
+    assert len(rows) == 303 and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for r in rows.values())
+    held = [i for i in range(300) if rows[i]["held_out"]]
+    assert held == [i for i in range(300) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([rows[i]["predicted"] == int(i % 3 != 0) for i in held]) > 0.95
+    assert {r["score"] for r in quality.op5(frame(spark, docs), labels.limit(0)).collect()} == {0.5}
+    assert quality.op5(frame(spark, docs).limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("block", [4096, 3])
+def test_nearest(spark, block):
+    rng = np.random.default_rng(0)
+    v = rng.standard_normal((700, 16)).astype(np.float32)
+    v[600:] = v[100]  # ties
+    rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v)]
+    odd = [(1000, None, 0), (1100, [0.0] * 16, 0), (1200, [None] + [1.0] * 15, 0), (1300, [float("nan")] + [1.0] * 15, 0), (1400, [float("inf")] * 16, 0), (1500, [1.0, 2.0], 0), (1501, [1.0, 4.0], 0), (None, [1.0] * 16, 0)]
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>, label int").repartition(4)
+    got = defaultdict(list)
+    for r in sorted(ann.nearest(df, df.where("vec_id % 100 = 0"), query_block=block).collect(), key=lambda r: (r["query_id"], r["rank"])):
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    wide = v.astype(np.float64)
+    for q in range(0, 700, 100):
+        d = np.sqrt(((wide - wide[q]) ** 2).sum(1))
+        want = sorted((d[i], i) for i in range(700) if i != q)[:10]
+        assert [i for i, _ in got[q]] == [i for _, i in want]
+        assert np.allclose([s for _, s in got[q]], [s for s, _ in want], rtol=1e-12, atol=0)
+    assert got[1500] == [(1501, 2.0)] and set(got) == {*range(0, 700, 100), 1500}
+    assert ann.op7(df.limit(0)).count() == 0
+
+
+def test_packing(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    own = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    docs = some_docs(n=150)
+    rows = packing.op8(frame(spark, docs)).collect()
+    by_doc, by_sequence = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by_doc[r["doc_id"]].append(r)
+        by_sequence[r["sequence_id"]].append(r)
+    for doc_id, text, *_ in docs:
+        ids = np.array([*own.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        at = 0
+        for r in sorted(by_doc[doc_id], key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            assert r["ids_crc32"] == zlib.crc32(ids[at : at + r["length"]].tobytes())
+            at += r["length"]
+        assert at == len(ids)
+    for pieces in by_sequence.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r["offset"]):
+            assert r["offset"] == at
+            at += r["length"]
+        assert at <= 1024 and at.bit_count() == 1
+    assert packing.op8(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_whole_examples_within_three_limits(spark):
+    rng = random.Random(4)
+    examples = [(i, rng.randint(1, 900), rng.randint(1, 4), rng.randint(0, 400)) for i in range(3000)] + [(3000, None, None, None)]
+    df = spark.createDataFrame(examples, "id long, tokens long, turns long, loss long").repartition(3)
+    size, totals, ids = {e[0]: e[1:] for e in examples}, defaultdict(lambda: np.zeros(3, int)), []
+    for r in packing.pack_examples(df, "id", "tokens", "turns", "loss", (1024, 6, 500)).collect():
+        totals[r["sequence_id"]] += np.array([x or 0 for x in size[r["id"]]])
+        ids.append(r["id"])
+    assert sorted(ids) == list(range(3001)) and all((t <= (1024, 6, 500)).all() for t in totals.values())
+    least = max(sum(e[k + 1] or 0 for e in examples) / limit for k, limit in enumerate((1024, 6, 500)))
+    assert len(totals) < 1.25 * least
+
+
+def test_lines(spark):
+    shared = " ".join(f"word{i}" for i in range(60))
+    docs = [(1, f"Start\n{shared}\nend", None, None), (2, f"{shared.upper()}  \nshort line", None, None), (3, "short line\nshort line", None, None), (4, None, None, None), (5, "", None, None), (None, shared, None, None), (6, f"a\n{shared}", None, None)]
+    rows = {r["doc_id"]: r for r in lines.dedup(frame(spark, docs)).collect()}
+    assert {i: r["text"] for i, r in rows.items()} == {1: docs[0][1], 2: "short line", 3: docs[2][1], 4: "", 5: "", None: shared, 6: "a\n"}
+    assert rows[6]["spans"] == [(2, len(shared))] and rows[6]["n_removed"] == 1
+    assert lines.op9(frame(spark, docs)).count() == len(docs) and lines.op9(frame(spark, docs).limit(0)).count() == 0
+
+
+def fill(budget, children):
+    """children: name to (cap, weight)."""
+    given, open_ = dict.fromkeys(children, 0.0), {c for c, (cap, w) in children.items() if w > 0}
+    while open_ and budget > 1e-9:
+        total = sum(children[c][1] for c in open_)
+        full = {c for c in open_ if children[c][0] <= budget * children[c][1] / total}
+        if not full:
+            return given | {c: budget * children[c][1] / total for c in open_}
+        for c in full:
+            given[c] = children[c][0]
+            budget -= children[c][0]
+        open_ -= full
+    return given
+
+
+@pytest.mark.parametrize("share, epochs", [(0.3, 1), (0.9, 2), (5.0, 3)])
+def test_mixing(spark, share, epochs):
+    docs = some_docs(n=300)
+    plan = mixing.PLAN._replace(share=share, epochs=epochs)
+    leaf = lambda d: ("none" if d[3] is None else "hub" if d[3] == "src0" else "rest", d[2] or "none", d[3] or "none")
+    tokens = {d[0]: len((d[1] or "").split()) for d in docs}
+    size = Counter()
+    for d in docs:
+        size[leaf(d)] += tokens[d[0]]
+    cap = lambda head: sum(n * epochs for k, n in size.items() if k[: len(head)] == head)
+    want = {}
+    for domain, a in fill(sum(size.values()) * share, {k: (cap((k,)), plan.domains.get(k, 1.0)) for k in {k[0] for k in size}}).items():
+        for language, b in fill(a, {k[1]: (cap(k[:2]), plan.languages.get(k[1], 1.0)) for k in size if k[0] == domain}).items():
+            for source, c in fill(b, {k[2]: (cap(k), 1.0) for k in size if k[:2] == (domain, language)}).items():
+                want[domain, language, source] = c
+    taken, epochs_of = Counter(), defaultdict(list)
+    for r in mixing.op10(frame(spark, docs)).collect() if (share, epochs) == (0.9, 2) else mixing.choose(mixing.materialise(mixing.leaves(frame(spark, docs)), "t"), plan).collect():
+        taken[r["domain"], r["language"], r["source"]] += r["take_tokens"]
+        epochs_of[r["doc_id"]].append(r["epoch"])
+        assert r["tokens"] == tokens[r["doc_id"]] and 0 <= r["take_tokens"] <= r["tokens"]
+    for k in size:
+        assert abs(taken[k] - want[k]) <= 1, k
+    assert all(sorted(e) == list(range(len(e))) and len(e) <= epochs for e in epochs_of.values())
+
+
+def test_pipeline(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, docs, "/root/testdata/sf0.001")
+        assert left.columns == list(corpus_pipeline.COLUMNS), name
+        docs = corpus_pipeline.materialise(left, name)
+        assert docs.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
+
+
+def test_ten_queries_are_registered():
+    assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
