@@ -32,7 +32,7 @@ MIN_LENGTH = 100
 GRAM = 32
 STEP = 8
 #: Bytes of text of one Burrows-Wheeler transform, about.
-BATCH = 1 << 20
+BATCH = 1 << 19
 #: Distinct runs of one anchor beyond which its group is dealt out in blocks.
 GROUP = 8192
 #: Groups dealt out in blocks that may be broadcast as a list.
@@ -134,8 +134,8 @@ def _collapsed(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     def emit(batches):
         seen: dict[tuple, tuple] = {}
         out: list[tuple] = []
-        for batch in batches:
-            for doc_id, th, text, own in zip(batch.column("doc_id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), batch.column("runs").to_pylist(), strict=True):
+        for part in (part for batch in batches for part, _, _ in slices(batch)):
+            for doc_id, th, text, own in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), part.column("text"), part.column("runs").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 for x in own:
                     anchor, start, n = x["anchor"], x["start"], x["n"]
