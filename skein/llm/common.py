@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -85,6 +86,13 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
         a = b
 
 
+def trim() -> None:
+    """Returns to the machine what a worker has freed; Arrow's pool and the allocator keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, ... of all pieces, one after another."""
     total = int(lengths.sum())

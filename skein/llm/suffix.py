@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mixed, n_tasks, ragged, slices, texts
+from .common import discard, materialise, mixed, n_tasks, ragged, slices, texts, trim
 
 MIN_LENGTH = 100
 GRAM = 32
@@ -116,6 +116,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                         row, start = row + shift[0], start + shift[1]
                     if len(row):
                         yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row]), pa.array(hashes[row]), pa.array(start), pa.array(n.astype(np.int32))], ["anchor", "doc_id", "th", "start", "n"])
+        trim()
 
     return docs.where("doc_id IS NOT NULL").mapInArrow(emit, "anchor long, doc_id long, th long, start long, n int")
 
@@ -160,6 +161,7 @@ def _collapsed(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
             yield _found([(False, a, run, d, t, s, len(run) - length + 1) for (a, run), (d, s, t) in seen.items()])
         if out:
             yield _found(out)
+        trim()
 
     return docs.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "runs").mapInArrow(emit, _FOUND)
 
@@ -174,9 +176,9 @@ def suffix_order(spare: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.
     """Suffixes in the order of their first depth bytes at least, by prefix doubling from eight bytes, and their places."""
     key, known = _packed(spare, slice(0, n), 8), 8
     order = np.argsort(key).astype(np.int32)
-    ordered = key[order]
-    new = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    rank = np.empty(n + 1, np.int64)
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    rank = np.empty(n + 1, np.int32)
     rank[n] = -1
     # a rank is the first place of its equals, so that it stays while they are sorted on
     first = np.flatnonzero(new)
@@ -184,8 +186,7 @@ def suffix_order(spare: np.ndarray, n: int, depth: int) -> tuple[np.ndarray, np.
     tied = np.flatnonzero(~new | ~np.append(new[1:], True))
     while known < depth and len(tied):
         moved = order[tied]
-        group = rank[moved]
-        key = (group << 32) + rank[np.minimum(moved + known, n)] + 1
+        key = (rank[moved].astype(np.int64) << 32) + rank[np.minimum(moved + known, n)] + 1
         sort = np.argsort(key)
         moved, key = moved[sort], key[sort]
         order[tied] = moved
@@ -210,12 +211,12 @@ def repeated(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     spare = np.concatenate((text, np.zeros(8, np.uint8)))
     order, place = suffix_order(spare, n, length)
     # a string of so many bytes begins where no END follows nearer; what stands before it then ends there too
-    ends = np.flatnonzero(text == END)
-    room = np.repeat(ends, np.diff(np.concatenate(([-1], ends)))) - np.arange(n)
-    begins = np.concatenate(([0], ends[:-1] + 1))
-    past = np.arange(n) - np.repeat(begins, np.diff(np.append(begins, n)))
+    ends = np.flatnonzero(text == END).astype(np.int32)
+    begins = np.concatenate(([0], ends[:-1] + 1)).astype(np.int32)
+    whole = ends - begins
+    past = np.arange(n, dtype=np.int32) - np.repeat(begins, whole + 1)
     # rows are those of suffixes with enough before them for the string still to be completed
-    rows = np.flatnonzero((past + room >= length)[order])
+    rows = np.flatnonzero(np.repeat(whole >= length, whole + 1)[order])
     parent, grown = np.zeros(len(rows), np.int32), 0
     while grown < length and len(rows):
         step = length % STEP if grown == 0 and length % STEP else min(STEP, length - grown)
@@ -307,6 +308,7 @@ def _by_group(runs_: DataFrame, length: int) -> DataFrame:
                     last = (anchor, a, b)
                     if size > BATCH or len(late) > 100_000:
                         yield done()
+                        trim()
                         size = 0
                 place, other = (doc_id, start, th), group.get(run)
                 if other is None:
@@ -319,6 +321,7 @@ def _by_group(runs_: DataFrame, length: int) -> DataFrame:
         close()
         if held or late:
             yield done()
+        trim()
 
     return dealt.mapInArrow(search, "doc_id long, th long, start long, n int")
 
@@ -364,9 +367,9 @@ def op6(docs: DataFrame) -> DataFrame:
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def measure(batches):
-        for batch in batches:
+        for part in (part for batch in batches for part, _, _ in slices(batch)):
             rows = []
-            for doc_id, text, spans in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("spans").to_pylist(), strict=True):
+            for doc_id, text, spans in zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("spans").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes() if text.as_buffer() is not None else b""
                 gone, kept, at = merged(spans), hashlib.sha256(), 0
                 for a, b in gone:
@@ -374,8 +377,8 @@ def op6(docs: DataFrame) -> DataFrame:
                     at = b
                 kept.update(raw[at:])
                 rows.append((doc_id, len(raw), sum(b - a for a, b in gone), len(gone), kept.hexdigest()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], [c.split()[0] for c in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (*[pa.int64()] * 4, pa.string()), strict=True)], [c.split()[0] for c in schema.split(", ")])
+        trim()
 
     return docs.join(repeats(docs), ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(measure, schema)
 
@@ -387,18 +390,21 @@ def dedup(docs: DataFrame, *keep: str) -> DataFrame:
     """
     own = hashed(docs, *keep)
 
+    def left(text, spans):
+        raw, at, parts = text.as_buffer().to_pybytes() if text.as_buffer() is not None else b"", 0, []
+        for a, b in merged(spans):
+            parts.append(raw[at:a])
+            at = b
+        parts.append(raw[at:])
+        return b"".join(x.decode("utf-8", "ignore").encode() for x in parts)
+
     def cut(batches):
-        for batch in batches:
-            kept = []
-            for text, spans in zip(batch.column("text"), batch.column("spans").to_pylist(), strict=True):
-                raw, at, parts = text.as_buffer().to_pybytes() if text.as_buffer() is not None else b"", 0, []
-                for a, b in merged(spans):
-                    parts.append(raw[at:a])
-                    at = b
-                parts.append(raw[at:])
-                kept.append(b"".join(x.decode("utf-8", "ignore").encode() for x in parts).decode())
-            columns = {name: batch.column(name) for name in batch.schema.names if name != "spans"} | {"text": pa.array(kept, pa.string())}
+        for part in (part for batch in batches for part, _, _ in slices(batch)):
+            columns = {name: part.column(name) for name in part.schema.names if name != "spans"}
+            if part.column("spans").null_count < len(part):
+                columns["text"] = pa.array([left(*x) for x in zip(part.column("text"), part.column("spans").to_pylist(), strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+        trim()
 
     joined = own.join(repeats(own.select("doc_id", "text", "th")), ["doc_id", "th"], "left").select("doc_id", "text", *keep, "spans")
     schema = joined.drop("spans").schema
