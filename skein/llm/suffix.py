@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes of every repeated string of at least MIN_LENGTH bytes, but the first occurrence, go.
 
 1. Winnowing picks an anchor, the smallest hash of GRAM bytes, in each window of MIN_LENGTH bytes; equal windows
-   pick equal anchors. Neighbouring windows with equal anchors form a run; short runs whose anchor no other run in
-   the corpus has hold no repeat and are left out.
+   pick equal anchors. Neighbouring windows with equal anchors form a run. A run whose anchor no other run in the
+   corpus has, and whose windows all share one place of it, holds no repeat and is left out.
 2. A run's bytes travel to its anchor's group. Equal runs collapse, in each task before that and in the group; all
    but the earliest are repeats.
 3. A batch of groups is one text. Its suffixes are sorted by prefix doubling; on the Burrows-Wheeler transform a
@@ -58,10 +58,10 @@ def span_of(length: int) -> int:
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Anchor (hash), row, start within the row and number of windows of each run."""
+    """Anchor (hash), row, start within the row and number of windows of each run, and whether the anchor stands at several places in it."""
     gram = min(GRAM, length // 2)
     n = len(data)
-    empty = tuple(np.empty(0, np.int64) for _ in range(4))
+    empty = tuple(np.empty(0, np.int64) for _ in range(5))
     if n < length:
         return empty
     up, down = powers
@@ -84,7 +84,16 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.nd
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
     begin = starts[first]
     row = np.searchsorted(offsets, begin, "right") - 1
-    return anchor[first].view(np.int64), row, begin - offsets[row], np.diff(np.concatenate((first, [len(starts)])))
+    size = np.diff(np.concatenate((first, [len(starts)])))
+    # equal windows have their anchors at equal distances, so at different places; places never go back
+    several = at[begin] != at[begin + size - 1]
+    return anchor[first].view(np.int64), row, begin - offsets[row], size, several
+
+
+def may_repeat(run: bytes, length: int) -> bool:
+    """Whether a run may hold two equal windows: all windows of a short run hold its middle, which then stands twice."""
+    n = len(run) - length + 1
+    return n > span_of(length) or run.find(run[n - 1 : length], n) >= 0
 
 
 def _cut_long(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, length: int):
@@ -101,7 +110,7 @@ def _cut_long(part: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, lengt
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, doc_id, th (the text's hash), start, n of all runs."""
+    """anchor, doc_id, th (the text's hash), start, n, several of all runs."""
 
     def emit(batches):
         powers = _powers(1 << 16)
@@ -111,14 +120,14 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 for piece, own, shift in _cut_long(part, data, offsets, length):
                     if len(piece) > len(powers[0]) - 1:
                         powers = _powers(len(piece))
-                    anchor, row, start, n = runs(piece, own, length, powers)
+                    anchor, row, start, n, several = runs(piece, own, length, powers)
                     if shift:
                         row, start = row + shift[0], start + shift[1]
                     if len(row):
-                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row]), pa.array(hashes[row]), pa.array(start), pa.array(n.astype(np.int32))], ["anchor", "doc_id", "th", "start", "n"])
+                        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[row]), pa.array(hashes[row]), pa.array(start), pa.array(n.astype(np.int32)), pa.array(several)], ["anchor", "doc_id", "th", "start", "n", "several"])
         trim()
 
-    return docs.where("doc_id IS NOT NULL").mapInArrow(emit, "anchor long, doc_id long, th long, start long, n int")
+    return docs.where("doc_id IS NOT NULL").mapInArrow(emit, "anchor long, doc_id long, th long, start long, n int, several boolean")
 
 
 _FOUND = "span boolean, anchor long, run binary, doc_id long, th long, start long, n int"
@@ -130,7 +139,7 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _collapsed(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Runs whose anchor stands twice or more: the earliest of equal ones that a task sees, and spans of the others."""
+    """Runs that may hold repeats: the earliest of equal ones that a task sees, and spans of the others."""
 
     def emit(batches):
         seen: dict[tuple, tuple] = {}
@@ -282,11 +291,11 @@ def _by_group(runs_: DataFrame, length: int) -> DataFrame:
         held: list[tuple] = []  # distinct runs of groups that have two or more, or a run that may hold repeats of its own
         late: list[tuple] = []  # repeats of whole runs
         group: dict[bytes, tuple] = {}
-        size, last, span = 0, None, span_of(length)
+        size, last = 0, None
 
         def close():
             nonlocal size
-            if len(group) > 1 or any(len(run) - length + 1 > span for run in group):
+            if len(group) > 1 or any(may_repeat(run, length) for run in group):
                 held.extend((run, *place) for run, place in group.items())
                 size += sum(map(len, group)) + len(group)
             group.clear()
@@ -330,8 +339,7 @@ def repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     """doc_id, th and spans (start, end, in bytes; they may overlap) of texts with repeats. docs: doc_id, text, th."""
     every = materialise(_anchors(docs, length), "runs")
     twice = every.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    wide = F.col("n") > span_of(length)
-    some = every.where(~wide).join(twice, "anchor", "left_semi").unionByName(every.where(wide))
+    some = every.where("NOT several").join(twice, "anchor", "left_semi").unionByName(every.where("several"))
     wanted = some.groupBy("doc_id", "th").agg(F.collect_set(F.struct("anchor", "start", "n")).alias("runs"))
     wanted = materialise(wanted, "wanted")
     discard(every)

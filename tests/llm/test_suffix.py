@@ -87,3 +87,23 @@ def test_cut_texts_stay_utf8(spark):
     rows = suffix.dedup(df, "lang").collect()
     assert len(rows) == len(docs)
     assert all(r["lang"] == "en" and r["text"] is not None for r in rows)
+
+
+@pytest.mark.parametrize("docs", [[(1, "z" * 101)], [(1, "".join(chr(97 + i % 25) + "é" * (i % 25 == 3) for i in range(52)) * 3)], [(1, "-" * 120)], [(1, "intro " + "=-" * 70), (2, "intro " + "=-" * 70)], [(1, bytes(range(33, 101)).decode() * 3)], [(1, "z" * 101), (2, "z" * 101)]])
+def test_repeats_within_one_short_run(spark, docs):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.op6(df).collect()}
+    assert got == brute(docs, suffix.MIN_LENGTH) and got[1][1] > 0
+
+
+def test_runs_left_out_hold_no_repeat():
+    rng = random.Random(8)
+    for _ in range(300):
+        period = rng.randint(1, 75)
+        unit = "".join(rng.choices("ab" if rng.random() < 0.3 else "abcdefgh", k=period))
+        raw = ("".join(rng.choices("xyz", k=rng.randint(0, 40))) + unit * (1 + rng.randint(100, 260) // period)).encode()
+        _, _, start, n, several = suffix.runs(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), 100, suffix._powers(1 << 10))
+        for s, k, own in zip(start.tolist(), n.tolist(), several.tolist(), strict=True):
+            run = raw[s : s + k + 99]
+            if len({run[i : i + 100] for i in range(k)}) < k:
+                assert own and suffix.may_repeat(run, 100)
