@@ -1,8 +1,9 @@
 """Substring dedup by line hashing.
 
-A unit is a line with at least MIN_WORDS words, lower-cased and with white space normalised. Digests are grouped in
-the whole corpus, the occurrence with the smallest (doc_id, line number) stays, the others go, and the removed
-ranges keep their offsets in the original text. Shorter lines always stay.
+A unit is a line, lower-cased and with white space normalised: in op9 and its query every line that has a word, in
+dedup() alone those with at least MIN_WORDS words, by default. Digests are grouped in the whole corpus, the occurrence
+with the smallest (doc_id, line number) stays, the others go, and the removed ranges keep their offsets in the
+original text. Lines that are no units always stay.
 
 Null texts count as empty. Rows without doc_id take no part and keep their text; rows that repeat a doc_id share
 their rank, so the same line at the same number of both stays in both. Only doc_id and text are read.
@@ -78,6 +79,6 @@ def dedup(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
 
 
 def op9(docs: DataFrame) -> DataFrame:
-    """One row per document: what went, where it stood, and a digest of what is left."""
+    """One row per document, with every line that has a word a unit: what went, where it stood, and a digest of what is left."""
     spans = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["length"].cast("string"))), ",")
-    return dedup(docs).select("doc_id", "n_units", "n_removed", "removed_chars", spans.alias("removed_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return dedup(docs, 1).select("doc_id", "n_units", "n_removed", "removed_chars", spans.alias("removed_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

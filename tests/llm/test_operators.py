@@ -219,6 +219,13 @@ def test_lines(spark):
     assert lines.op9(frame(spark, docs)).count() == len(docs) and lines.op9(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_short_lines_are_units(spark):
+    docs = [(1, "Share this page\nfirst body\n\n", "en", None), (2, "second body\n share  THIS page\n\nfirst body", "en", None)]
+    rows = {r["doc_id"]: r for r in lines.op9(frame(spark, docs)).collect()}
+    assert [(rows[i]["n_units"], rows[i]["n_removed"]) for i in (1, 2)] == [(2, 0), (3, 2)]
+    assert rows[2]["kept_sha256"] == hashlib.sha256(b"second body\n\n").hexdigest()
+
+
 def fill(budget, children):
     """children: name to (cap, weight)."""
     given, open_ = dict.fromkeys(children, 0.0), {c for c, (cap, w) in children.items() if w > 0}
