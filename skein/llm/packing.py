@@ -34,9 +34,10 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 class ByteBPE:
     """Token ids as little-endian unsigned 32-bit bytes, by a byte-level BPE that `tokenizers` describes.
 
-    The ids are those of tokenizers' encode(text, add_special_tokens=False). Between a character and a lone space
-    there is always a boundary of its words, so texts without doubled or trailing spaces are cut there, and each
-    part's ids are kept. Other texts, and new parts, go through the same vocabulary in tiktoken.
+    The ids are those of tokenizers' encode(text, add_special_tokens=False). Before a space there is always a boundary
+    of its words, unless white space of any kind stands on both sides of it. So texts without trailing spaces and such
+    runs are cut there, and each part's ids are kept. Other texts, and new parts, go through the same vocabulary in
+    tiktoken.
     """
 
     def __init__(self, ranks: str, pattern: str, special: dict[str, int]) -> None:
@@ -65,9 +66,13 @@ class ByteBPE:
                 known.clear()
             for i, x in enumerate(found):
                 if x is None:
+                    # a part that goes on with white space is never kept, so that each is looked at here
+                    inner = parts[i][1:2].isspace()
+                    if inner and i and parts[i - 1][-1:].isspace():
+                        return self._encode(text)
                     if (x := known.get(parts[i])) is None:
                         x = self._encode(parts[i])
-                        if len(parts[i]) < 64:
+                        if len(parts[i]) < 64 and not inner:
                             known[parts[i]] = x
                     found[i] = x
         return b"".join(found)

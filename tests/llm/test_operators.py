@@ -197,6 +197,18 @@ def test_packing(spark):
     assert packing.op8(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_ids_of_white_space_runs():
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    own, bpe, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.byte_bpe_50k(), random.Random(6)
+    odd = [chr(c) for c in range(0x3001) if chr(c).isspace() and c != 32]
+    texts = ["a \u00a0 \u00a0 \u00a0 b", "a \n \n b", "a\n b", "a\u00a0 \u00a0", " \u00a0 b"]
+    texts += ["".join(rng.choice([" ", " ", rng.choice(odd), rng.choice(odd), "a", "b1", "'s", "é!"]) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    for text in texts * 2:  # known parts too
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == own.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_whole_examples_within_three_limits(spark):
     rng = random.Random(4)
     examples = [(i, rng.randint(1, 900), rng.randint(1, 4), rng.randint(0, 400)) for i in range(3000)] + [(3000, None, None, None)]
