@@ -162,13 +162,13 @@ def metadata(manifest: DataFrame) -> DataFrame:
     return _spread(manifest).mapInArrow(fill, f"{kinds}, width int, height int, bit_depth int")
 
 
-def features(n_bytes: int, media: bytes) -> tuple:
+def features(media: bytes) -> tuple:
     """What the stored bytes show, besides what the manifest has."""
     width, height, depth = header(media[:HEADER_BYTES])
     payload = decode(media)
     samples = np.frombuffer(payload, np.uint8)
     feature = f"png {width}x{height} gray{depth} sum={int(samples.sum(dtype=np.int64))} distinct={len(np.flatnonzero(np.bincount(samples, minlength=256)))}"
-    return n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), feature
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
@@ -181,10 +181,10 @@ def read_back(manifest: DataFrame) -> DataFrame:
             rows = []
             for doc_id, n, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "shard", "offset", "length")), strict=True):
                 if (shard, offset) not in recent:
-                    recent[shard, offset] = features(n, reader.read(shard, offset, length))
+                    recent[shard, offset] = features(reader.read(shard, offset, length))
                     if len(recent) > 256:
                         recent.popitem(last=False)
-                rows.append((doc_id, *recent[shard, offset]))
+                rows.append((doc_id, n, *recent[shard, offset]))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in READ_SCHEMA.split(", ")])

@@ -64,6 +64,12 @@ def test_media(spark):
     assert media.op2(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_texts_of_one_payload_keep_their_sizes(spark):
+    docs = [(1, ""), (2, "\0"), (3, "a"), (4, "a\0"), (5, "a\0\0")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert {r["doc_id"]: r["n_bytes"] for r in media.op2(df).collect()} == {i: len(t) for i, t in docs}
+
+
 def test_language(spark):
     docs = some_docs(n=400)
     rows = {r["doc_id"]: r for r in langid.op3(frame(spark, docs)).collect()}
