@@ -162,9 +162,9 @@ def metadata(manifest: DataFrame) -> DataFrame:
     return _spread(manifest).mapInArrow(fill, f"{kinds}, width int, height int, bit_depth int")
 
 
-def features(media: bytes) -> tuple:
-    """What the stored bytes show, besides what the manifest has."""
-    width, height, depth = header(media[:HEADER_BYTES])
+def features(media: bytes, head: tuple[int, int, int] | None = None) -> tuple:
+    """What the stored bytes show, besides what the manifest has; head: width, height and bit depth, if they are known."""
+    width, height, depth = head or header(media[:HEADER_BYTES])
     payload = decode(media)
     samples = np.frombuffer(payload, np.uint8)
     feature = f"png {width}x{height} gray{depth} sum={int(samples.sum(dtype=np.int64))} distinct={len(np.flatnonzero(np.bincount(samples, minlength=256)))}"
@@ -172,16 +172,17 @@ def features(media: bytes) -> tuple:
 
 
 def read_back(manifest: DataFrame) -> DataFrame:
-    """Reads each row's stored form and computes its features."""
-    where = scratch(manifest.sparkSession)
+    """Reads each row's stored form and computes its features, with the metadata columns where metadata() has filled them."""
+    where, filled = scratch(manifest.sparkSession), "width" in manifest.columns
 
     def read(batches):
         reader, recent = Reader(where), OrderedDict()
         for batch in batches:
             rows = []
-            for doc_id, n, shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "shard", "offset", "length")), strict=True):
+            heads = zip(*(batch.column(c).to_pylist() for c in ("width", "height", "bit_depth")), strict=True) if filled else [None] * len(batch)
+            for doc_id, n, shard, offset, length, head in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "shard", "offset", "length")), heads, strict=True):
                 if (shard, offset) not in recent:
-                    recent[shard, offset] = features(reader.read(shard, offset, length))
+                    recent[shard, offset] = features(reader.read(shard, offset, length), head)
                     if len(recent) > 256:
                         recent.popitem(last=False)
                 rows.append((doc_id, n, *recent[shard, offset]))
@@ -193,5 +194,5 @@ def read_back(manifest: DataFrame) -> DataFrame:
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    """The contract's columns: stores every text and reads it back."""
-    return read_back(store(docs))
+    """The contract's columns: stores every text, fills the metadata columns from the headers, and reads the texts back."""
+    return read_back(materialise(metadata(store(docs)), "metadata"))

@@ -70,6 +70,14 @@ def test_texts_of_one_payload_keep_their_sizes(spark):
     assert {r["doc_id"]: r["n_bytes"] for r in media.op2(df).collect()} == {i: len(t) for i, t in docs}
 
 
+def test_media_query_takes_its_metadata_from_headers(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    real = media.metadata
+    monkeypatch.setattr(media, "metadata", lambda manifest: real(manifest).withColumn("width", F.col("width") + 1000))
+    assert all(r["feature"].startswith("png 1064x1 gray8 ") for r in media.op2(frame(spark, [(1, "a", None, None), (2, None, None, None)])).collect())
+
+
 def test_language(spark):
     docs = some_docs(n=400)
     rows = {r["doc_id"]: r for r in langid.op3(frame(spark, docs)).collect()}
