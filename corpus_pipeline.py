@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that the next reads as Parquet. All but the last keep
 the columns of documents.
+
+Stages decide by row: rows without doc_id, and rows that repeat a doc_id with another text, are documents like others.
+Null texts count as empty. Of rows with equal doc_id and text one stays.
 """
 
 from __future__ import annotations
@@ -13,6 +16,8 @@ from skein.llm import mixing, packing, quality, simhash, suffix
 from skein.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A row's identity: doc_id, which may be null or repeated, and text.
+ROW = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,22 +28,27 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id; repeated rows of it stay one."""
-    groups = simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """Of each group of near-duplicates the row with the smallest doc_id (none comes last); equal rows stay one."""
+    rows = docs.withColumn("row", ROW)
+    groups = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    kept = groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
+    return rows.join(kept, "row", "left_semi").dropDuplicates(["row"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 100 bytes that stand earlier; n_chars follows. A text of which nothing is left goes."""
-    left = suffix.dedup(docs, "lang", "source", "n_chars")
+    sized = docs.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
+    left = suffix.dedup(sized, "lang", "source", "n_chars")
     return left.where("text != '' OR n_chars = 0").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, once for each epoch."""
-    keyed = materialise(mixing.leaves(docs), "tokens")
-    taken = mixing.choose(keyed, mixing.PLAN).select("doc_id", "epoch")
-    return docs.join(taken, "doc_id").select(*COLUMNS)
+    """The documents that the mixture takes, once for each epoch. A leaf's order is seeded by row, not by doc_id."""
+    keyed = materialise(mixing.leaves(docs.withColumn("doc_id", ROW)), "tokens")
+    taken = mixing.choose(keyed, mixing.PLAN).select(F.col("doc_id").alias("row"), "epoch").distinct()
+    return docs.withColumn("row", ROW).join(taken, "row").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

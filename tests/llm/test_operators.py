@@ -304,5 +304,22 @@ def test_pipeline(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() > 0
 
 
+def test_pipeline_decides_by_row(spark, monkeypatch):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d = (" ".join("".join(rng.choices("abcdefghij", k=7)) for _ in range(30)) for _ in range(4))
+    rows = [(None, a), (None, b), (1, c), (1, c), (1, d), (0, d), (3, "")]
+    docs = spark.createDataFrame([(i, t, "en", "src1", None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted([(None, a), (None, b), (1, c), (0, d), (3, "")], key=str)
+    kept = corpus_pipeline.materialise(corpus_pipeline.keep_one_of_near_duplicates(spark, docs, ""), "kept")
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == want
+    left = corpus_pipeline.cut_repeats(spark, kept, "")
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == want
+    monkeypatch.setattr(mixing, "PLAN", mixing.PLAN._replace(share=5.0, epochs=1))
+    mixed = corpus_pipeline.mix(spark, kept.where("text != ''"), "")
+    assert sorted(((r["doc_id"], r["text"]) for r in mixed.collect()), key=str) == [x for x in want if x[1]]
+
+
 def test_ten_queries_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
