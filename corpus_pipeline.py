@@ -45,10 +45,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mixture takes, once for each epoch. A leaf's order is seeded by row, not by doc_id."""
+    """The documents that the mixture takes, once for each epoch; that in which a leaf's budget ends is cut to the words taken.
+
+    A leaf's order is seeded by row, not by doc_id.
+    """
     keyed = materialise(mixing.leaves(docs.withColumn("doc_id", ROW)), "tokens")
-    taken = mixing.choose(keyed, mixing.PLAN).select(F.col("doc_id").alias("row"), "epoch").distinct()
-    return docs.withColumn("row", ROW).join(taken, "row").select(*COLUMNS)
+    taken = mixing.choose(keyed, mixing.PLAN).select(F.col("doc_id").alias("row"), "epoch", "tokens", "take_tokens").distinct()
+    words = F.split("text", r"(?<=\S)(?=\s)")  # each with the white space before it
+    prefix = F.array_join(F.slice(words, F.lit(1), F.col("take_tokens").cast("int")), "")
+    cut = docs.withColumn("row", ROW).join(taken, "row").withColumn("text", F.when(F.col("take_tokens") < F.col("tokens"), prefix).otherwise(F.col("text")))
+    return cut.withColumn("n_chars", F.when(F.col("take_tokens") < F.col("tokens"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

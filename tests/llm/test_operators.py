@@ -321,5 +321,15 @@ def test_pipeline_decides_by_row(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["text"]) for r in mixed.collect()), key=str) == [x for x in want if x[1]]
 
 
+def test_pipeline_cuts_the_document_in_which_a_budget_ends(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(mixing, "PLAN", mixing.PLAN._replace(share=0.3, epochs=1))
+    text = "  é0\n" + " \t".join(f"w{i}" for i in range(1, 100)) + " "
+    docs = spark.createDataFrame([(1, text, "en", "src1", len(text))], "doc_id long, text string, lang string, source string, n_chars long")
+    want = text[: text.index(" \tw30")]
+    assert [(r["text"], r["n_chars"]) for r in corpus_pipeline.mix(spark, docs, "").collect()] == [(want, len(want))]
+
+
 def test_ten_queries_are_registered():
     assert {int(n[2:].split("_")[0]) for n in queries()} == set(range(1, 11))
