@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,25 +39,39 @@ def scratch(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def filesystem(folder: str) -> tuple[FileSystem, str]:
+    """The file system of a folder that Spark names, and the folder's path there, for use in Python."""
+    scheme, _, rest = folder.partition(":")
+    known = {"s3a": "s3", "s3n": "s3", "abfs": "abfss"}
+    if scheme == "file":  # file:/x and file:///x
+        folder = "file:///" + rest.lstrip("/")
+    elif scheme in known:
+        folder = f"{known[scheme]}:{rest}"
+    return FileSystem.from_uri(folder)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: it cuts lineage and outlives executors."""
-    spark = df.sparkSession
+    """The rows written to the shared folder and read again: it cuts lineage and outlives executors.
+
+    Shuffle files of the plan go once the rows are written; a task that still misses one makes it again.
+    """
+    spark, setting = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     stored = spark.read.schema(df.schema).parquet(path)
     stored.stored_at = path
     return stored
 
 
 def discard(stored: DataFrame) -> None:
-    """Removes rows that materialise() stored and nothing reads any more, and shuffle files of plans that are done."""
-    spark = stored.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(stored.stored_at)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    for _ in range(2):  # the JVM hears of objects that Python drops a little later
-        gc.collect()
-        time.sleep(0.3)
-        spark.sparkContext._jvm.System.gc()
+    """Removes rows that materialise() stored and nothing reads any more."""
+    fs, path = filesystem(stored.stored_at)
+    fs.delete_dir(path)
 
 
 def n_tasks(spark: SparkSession, least: int = 1) -> int:

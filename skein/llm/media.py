@@ -21,12 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, n_tasks, scratch, texts
+from .common import filesystem, materialise, n_tasks, scratch, texts
 
 ROW = 64
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -79,7 +78,7 @@ class Shards:
     """The tar shards that one task writes."""
 
     def __init__(self, folder: str) -> None:
-        self.fs, self.folder = FileSystem.from_uri(folder)
+        self.fs, self.folder = filesystem(folder)
         context = TaskContext.get()
         self.stem = f"{context.partitionId():06d}-{context.taskAttemptId()}" if context else uuid.uuid4().hex
         self.n, self.out, self.at, self.known = 0, None, 0, {}
@@ -133,7 +132,7 @@ class Reader:
     """Range reads of shards, one file open at a time."""
 
     def __init__(self, folder: str) -> None:
-        self.fs, _ = FileSystem.from_uri(folder)
+        self.fs, _ = filesystem(folder)
         self.name, self.file = None, None
 
     def read(self, shard: str, offset: int, length: int) -> bytes:
