@@ -22,4 +22,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op9_line_dedup": lines.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op7_nearest": ann.oracle(), "op9_line_dedup": lines.oracle()}
