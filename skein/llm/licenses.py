@@ -1,16 +1,22 @@
 """License scans: a positional rare-token index, native from end to end.
 
-Templates are short licence notices. Each is indexed by its rarest words, rarest by their document frequency in
-the whole corpus; as many are taken as it may differ in words, and one more, so that by the pigeonhole principle
-an acceptable place always holds one of them where it should be. A document's occurrences of rare words give,
-by relative position, the places where a notice could start; there the mandatory key phrases must stand and
-enough of the notice's words must agree.
-
-Null texts count as empty: no words, no labels, score 0. Equal rows give equal rows. Only doc_id and text are read.
+Templates are licence texts, those given here or a table of them. Each is indexed by its rarest words, rarest by their
+document frequency in the whole corpus: as many as it may differ in words, and SURE more, so that by the pigeonhole
+principle an acceptable place agrees with at least SURE of them. The index is one list of postings, (template,
+position) by word. A document looks its rare words up; each posting gives the place where the template would start;
+places are intersected by counting, and those with enough postings stay. There the mandatory key phrases must stand
+and enough of the template's words must agree.
+
+Null texts count as empty: no words, no labels, score 0. Equal rows give equal rows, and rows without doc_id are rows
+like others. Of labels at one place all are given. A very long text costs in proportion to its words and to the
+postings of its rare words; it stays in one row. An empty table gives an empty one. Only doc_id and text are read;
+other columns go, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -20,6 +26,12 @@ from .common import texts
 
 #: What separates words once A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Postings that an acceptable place has at least, where its template has so many words.
+SURE = 3
+#: Words that a template may begin before a text.
+BEFORE = 1 << 20
+#: Bytes of templates at most.
+INDEX_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -57,6 +69,11 @@ class Template:
         return sorted(out)
 
 
+def normal(text: str) -> str:
+    """A text's words, one space between them."""
+    return " ".join(w for w in re.split(SEPARATORS, text.translate({c: c + 32 for c in range(65, 91)})) if w)
+
+
 def base(label: str, phrase: str) -> Template:
     return Template(label, phrase, (phrase,), 1.0, True)
 
@@ -90,49 +107,83 @@ def document_frequency(docs: DataFrame, templates: tuple[Template, ...]) -> dict
 
 
 def rare_words(template: Template, frequency: dict[str, int]) -> list[tuple[int, str]]:
-    """The positions and words that index a template: its highest-IDF words, one more than may differ."""
+    """The positions and words that index a template: its highest-IDF words, SURE more than may differ if it has them."""
     order = sorted(enumerate(template.words), key=lambda x: (frequency.get(x[1], 0), x[0]))
-    return order[: template.slack + 1]
+    return order[: template.slack + SURE]
 
 
-def _agreeing(template: Template, at: str) -> str:
-    return " + ".join(f"int(coalesce(get(words, {at} + {i}) = '{w}', false))" for i, w in enumerate(template.words))
+def templates_of(table: DataFrame) -> tuple[Template, ...]:
+    """Templates of a table: label, text, keys (an array of phrases of the text), agree. Its size is bounded by INDEX_BYTES."""
+    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > INDEX_BYTES:
+        raise ValueError(f"templates of {size} bytes; the index is part of the plan and takes {INDEX_BYTES}")
+    return tuple(Template(r["label"], normal(r["text"]), tuple(normal(k) for k in r["keys"]), r["agree"]) for r in table.select("label", "text", "keys", "agree").collect())
 
 
-def _starts(template: Template, rare: list[tuple[int, str]]) -> str:
-    """SQL for the places where a template stands, from the document's rare words by relative position."""
-    hits = ", ".join(f"transform(filter(hits, h -> h.w = '{w}'), h -> h.p - {i})" for i, w in rare)
-    keys = " AND ".join(f"coalesce(get(words, s + {i}) = '{w}', false)" for i, w in template.key_words())
-    return f"array_sort(filter(array_distinct(flatten(array({hits}))), s -> {keys} AND {_agreeing(template, 's')} >= {template.least}))"
+def _quoted(words) -> str:
+    return ", ".join(f"'{w}'" for w in words)
 
 
-def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
+def index(docs: DataFrame, templates: tuple[Template, ...]) -> dict[str, str]:
+    """The index as SQL constants: the rare words, postings, and the templates with their key words."""
+    frequency = document_frequency(docs, templates)
+    postings: dict[str, list] = {}
+    shown = []
+    for number, t in enumerate(templates):
+        chosen = rare_words(t, frequency)
+        for at, word in chosen:
+            postings.setdefault(word, []).append({"t": number, "i": at})
+        shown.append({"label": t.label, "base": t.base, "words": t.words, "need": max(1, len(chosen) - t.slack), "least": t.least, "keys": [{"i": i, "w": w} for i, w in t.key_words()]})
+    lists = {w: i for i, w in enumerate(sorted(postings))}
+
+    def constant(value: list, kind: str) -> str:
+        escaped = json.dumps(value, ensure_ascii=False).replace("\\", "\\\\").replace("'", "\\'")
+        return f"from_json('{escaped}', '{kind}')"
+
+    return {
+        "rare": _quoted(lists),
+        "numbers": f"map({', '.join(f"'{w}', {i}" for w, i in lists.items())})",
+        "postings": constant([postings[w] for w in lists], "array<array<struct<t:int,i:int>>>"),
+        "templates": constant(shown, "array<struct<label:string,base:boolean,words:array<string>,need:int,least:int,keys:array<struct<i:int,w:string>>>>"),
+    }
+
+
+def scan(docs: DataFrame, templates: tuple[Template, ...] | DataFrame = TEMPLATES) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, and places (label, start).
 
     score: the largest share of a notice's words that agree at a place where it stands; 1 for a whole notice.
     """
     docs = texts(docs)
-    frequency = document_frequency(docs, templates)
-    index = [(t, rare_words(t, frequency)) for t in templates]
-    rare = sorted({w for _, words in index for _, w in words})
-    hits = "filter(transform(words, (w, p) -> CASE WHEN w IN ({}) THEN named_struct('w', w, 'p', p) END), x -> x IS NOT NULL)".format(", ".join(f"'{w}'" for w in rare))
+    if isinstance(templates, DataFrame):
+        templates = tuple(t for t in TEMPLATES if t.base) + templates_of(templates)
+    has = index(docs, templates)
+    hits = f"filter(transform(words, (w, p) -> CASE WHEN w IN ({has['rare']}) THEN named_struct('w', w, 'p', p) END), x -> x IS NOT NULL)"
+    # a place is one number: the template, then where it starts (it may be before the text)
+    looked_up = f"get({has['postings']}, element_at({has['numbers']}, h.w))"
+    met = f"array_sort(flatten(transform(hits, h -> transform({looked_up}, e -> shiftleft(bigint(e.t), 40) + (h.p - e.i + {BEFORE})))))"
+    number, start = "int(shiftright(m, 40))", f"int((m & {(1 << 40) - 1}L) - {BEFORE})"
+    template = f"get({has['templates']}, {number})"
+    enough = f"array_distinct(filter(met, (m, k) -> get(met, k + {template}.need - 1) = m))"
+    placed = f"transform({enough}, m -> named_struct('t', {template}, 's', {start}))"
+    keyed = "filter(placed, x -> forall(x.t.keys, k -> coalesce(get(words, x.s + k.i) = k.w, false)))"
+    agreeing = "size(filter(x.t.words, (w, i) -> coalesce(get(words, x.s + i) = w, false)))"
+    counted = "transform(keyed, x -> named_struct('label', x.t.label, 'base', x.t.base, 'start', bigint(x.s), 'least', x.t.least, 'agree', {0}, 'of', size(x.t.words)))".format(agreeing)
     found = with_words(docs).select("doc_id", "words", F.expr(hits).alias("hits"))
-    found = found.select("doc_id", "words", *[F.expr(_starts(t, r)).alias(f"at_{k}") for k, (t, r) in enumerate(index)])
-    of = lambda want: [(k, t) for k, (t, _) in enumerate(index) if want(t)]
-    label = lambda chosen: "array_sort(array_distinct(flatten(array({}))))".format(", ".join(f"transform(at_{k}, s -> '{t.label}')" for k, t in chosen))
-    starts = "flatten(array({}))".format(", ".join(f"at_{k}" for k, _ in of(lambda t: t.base)))
-    share = "greatest(0D, {})".format(", ".join(f"coalesce(array_max(transform(at_{k}, s -> ({_agreeing(t, 's')}) / {len(t.words)}D)), 0D)" for k, t in of(lambda t: True)))
-    places = "flatten(array({}))".format(", ".join(f"transform(at_{k}, s -> named_struct('label', '{t.label}', 'start', bigint(s)))" for k, t in of(lambda t: True)))
+    found = found.select("doc_id", "words", F.expr(met).alias("met")).select("doc_id", "words", F.expr(placed).alias("placed"))
+    found = found.select("doc_id", "words", F.expr(keyed).alias("keyed")).select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr(counted).alias("counted"))
+    found = found.select("doc_id", "n_words", F.expr("filter(counted, x -> x.agree >= x.least)").alias("places"))
+    starts = "transform(filter(places, x -> x.base), x -> x.start)"
+    label = lambda chosen: F.expr(f"array_join(array_sort(array_distinct(transform({chosen}, x -> x.label))), ',')")
     return found.select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
+        "n_words",
         F.expr(f"bigint(size({starts}))").alias("n_base"),
-        F.expr(f"bigint(array_min({starts}))").alias("first_word"),
-        F.expr(f"bigint(array_max({starts}))").alias("last_word"),
-        F.expr(f"array_join({label(of(lambda t: t.base))}, ',')").alias("base_labels"),
-        F.expr(f"array_join({label(of(lambda t: True))}, ',')").alias("labels"),
-        F.expr(share).alias("score"),
-        F.expr(places).alias("places"),
+        F.expr(f"array_min({starts})").alias("first_word"),
+        F.expr(f"array_max({starts})").alias("last_word"),
+        label("filter(places, x -> x.base)").alias("base_labels"),
+        label("places").alias("labels"),
+        F.expr("coalesce(array_max(transform(places, x -> x.agree / double(x.of))), 0D)").alias("score"),
+        F.expr("transform(places, x -> named_struct('label', x.label, 'start', x.start))").alias("places"),
     )
 
 
