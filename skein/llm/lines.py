@@ -4,7 +4,7 @@ A text falls into pieces, which tile it from its first word on: a piece ends whe
 in `.`, `!` or `?`, and after one whose last byte and length say so (see Pieces), so that a passage is cut alike
 wherever it stands, in the middle of a line too. A unit is a paragraph of consecutive pieces: from a piece on, as few
 as hold `least` words; with 0 each piece is a unit. Its normal form is its words, A-Z lower-cased, one space between
-them. Digests (128 bits) are grouped in the whole corpus, the occurrence with the smallest (doc_id, piece) stays, and
+them. Digests (96 bits) are grouped in the whole corpus, the occurrence with the smallest (doc_id, piece) stays, and
 the pieces of all others go. What goes keeps its offsets, in characters of the original text.
 
 LEAST is a parameter, not a cap: repeats of fewer words in a row stay, for they are common phrases of documents that
@@ -90,27 +90,26 @@ class Pieces:
         return pieces[fine], to[fine]
 
     def digests(self, piece: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two 64-bit hashes of each unit's normal form."""
+        """64 and 32 bits of hashes of each unit's normal form."""
         wide = self.data.astype(np.uint64) + np.uint64(1)
         words = (_Sums(wide, base).of(self.start, self.stop) for base in _BASES)
-        return tuple(_Sums(w, base).of(self.bounds[piece], self.bounds[to]) for w, base in zip(words, _BASES, strict=True))
+        high, low = (_Sums(w, base).of(self.bounds[piece], self.bounds[to]) for w, base in zip(words, _BASES, strict=True))
+        return high.view(np.int64), (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _emitted(columns: list[np.ndarray]) -> tuple[pa.RecordBatch, int]:
-    """Units with `later` true where an earlier occurrence is among them, and how many are not."""
-    high, low, ids, hashes, unit = (np.concatenate(x) for x in zip(*columns, strict=True))
+def _emitted(columns: list[np.ndarray]) -> pa.RecordBatch:
+    """Units with `later` true where an earlier occurrence is among them."""
+    high, low, ids, unit = (np.concatenate(x) for x in zip(*columns, strict=True))
     order = np.lexsort((unit, ids, low, high))
-    high, low, ids, hashes, unit = (x[order] for x in (high, low, ids, hashes, unit))
+    high, low, ids, unit = (x[order] for x in (high, low, ids, unit))
     new = np.concatenate(([True], (high[1:] != high[:-1]) | (low[1:] != low[:-1])))
     head = np.flatnonzero(new)[np.cumsum(new) - 1]
     later = (ids != ids[head]) | (unit != unit[head])
-    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-    arrays = [pa.array(x, t) for x, t in zip((later, high, low, ids, hashes, unit), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(arrays, ["later", "high", "low", "doc_id", "th", "unit"]), int((~later).sum())
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (later, high, low, ids, unit)], ["later", "high", "low", "doc_id", "unit"])
 
 
 def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """later, high, low, doc_id, th, unit of every unit. later: an equal unit that the same task saw stands earlier."""
+    """later, high, low, doc_id, unit of every unit. later: an equal unit that the same task saw stands earlier."""
 
     def emit(batches):
         held, n = [], 0
@@ -119,21 +118,20 @@ def digests(docs: DataFrame, least: int = LEAST) -> DataFrame:
             piece, to = found.units(least)
             if len(piece):
                 row = np.searchsorted(found.first_piece, piece, "right") - 1
-                ids, hashes = (part.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "th"))
-                high, low = found.digests(piece, to)
-                held.append((high.view(np.int64), low.view(np.int64), ids, hashes, (piece - found.first_piece[row]).astype(np.int32)))
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)[row]
+                held.append((*found.digests(piece, to), ids, (piece - found.first_piece[row]).astype(np.int32)))
                 n += len(piece)
             if n >= COLLAPSE:
-                yield _emitted(held)[0]
+                yield _emitted(held)
                 held, n = [], 0
         if held:
-            yield _emitted(held)[0]
+            yield _emitted(held)
 
-    return docs.where("doc_id IS NOT NULL").select("doc_id", "th", "text").mapInArrow(emit, "later boolean, high long, low long, doc_id long, th int, unit int")
+    return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(emit, "later boolean, high long, low int, doc_id long, unit int")
 
 
 def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """doc_id, th and units (the first pieces) of the units that stand earlier too. docs: doc_id, text, th.
+    """doc_id and units (first piece, low half of the digest) of the units that stand earlier too. docs: doc_id, text.
 
     Equal units collapse in each task first, so that a unit that a third of all documents share reaches the shuffle
     only once for every COLLAPSE units.
@@ -142,19 +140,22 @@ def repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     order = Window.partitionBy("high", "low").orderBy("doc_id", "unit")
     # rank, not row_number: rows that repeat a doc_id are of equal rank
     late = found.where("NOT later").withColumn("rank", F.rank().over(order)).where("rank > 1")
-    gone = found.where("later").select("doc_id", "th", "unit").unionByName(late.select("doc_id", "th", "unit"))
-    gone = materialise(gone.groupBy("doc_id", "th").agg(F.collect_set("unit").alias("units")), "repeats")
+    gone = found.where("later").select("doc_id", "unit", "low").unionByName(late.select("doc_id", "unit", "low"))
+    gone = materialise(gone.groupBy("doc_id").agg(F.collect_set(F.struct("unit", "low")).alias("units")), "repeats")
     discard(found)
     return gone
 
 
-def _cut(found: Pieces, raw: np.ndarray, offsets: np.ndarray, row: int, units: list, least: int, to: np.ndarray) -> tuple:
-    """What is left of one text, its pieces removed, and their spans in characters."""
+def _cut(found: Pieces, raw: np.ndarray, offsets: np.ndarray, row: int, units: list, to: np.ndarray, low: np.ndarray) -> tuple:
+    """What is left of one text, its pieces removed, and their spans in characters. to and low: by a unit's first piece."""
     base, size = found.first_piece[row], found.first_piece[row + 1] - found.first_piece[row]
     edge = np.zeros(size + 1, np.int64)
     for unit in units:
-        edge[unit] += 1
-        edge[to[base + unit] - base] -= 1
+        at = unit["unit"]
+        # another text of this doc_id may have the unit, which its digest tells
+        if at < size and to[base + at] and low[base + at] == unit["low"]:
+            edge[at] += 1
+            edge[to[base + at] - base] -= 1
     gone = np.cumsum(edge)[:size] > 0
     step = np.diff(np.concatenate(([0], gone.astype(np.int8), [0])))
     own = raw[offsets[row] : offsets[row + 1]]
@@ -171,23 +172,24 @@ def _cut(found: Pieces, raw: np.ndarray, offsets: np.ndarray, row: int, units: l
 
 def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """doc_id, what is left of text, n_units (pieces), n_removed, removed_chars, and spans (start, length) that went."""
-    docs = texts(docs).withColumn("th", F.hash("text"))
+    docs = texts(docs)
 
     def cut(batches):
         for part, raw, offsets in (x for batch in batches for x in slices(batch)):
             found = Pieces(raw, offsets)
-            to = np.zeros(len(found.bounds), np.int64)
-            piece, ends = found.units(least)
-            to[piece] = ends
+            to, low = np.zeros(len(found.bounds), np.int64), np.zeros(len(found.bounds), np.int32)
+            if part.column("units").null_count < len(part):
+                piece, ends = found.units(least)
+                to[piece], low[piece] = ends, found.digests(piece, ends)[1]
             sizes = np.diff(found.first_piece)
             rows = []
             for row, (doc_id, text, units) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("text"), part.column("units").to_pylist(), strict=True)):
-                left, n, spans = _cut(found, raw, offsets, row, units, least, to) if units else (text.as_py(), 0, [])
+                left, n, spans = _cut(found, raw, offsets, row, units, to, low) if units else (text.as_py(), 0, [])
                 rows.append((doc_id, left, int(sizes[row]), n, sum(s["length"] for s in spans), spans))
             kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_id", "text", "n_units", "n_removed", "removed_chars", "spans"])
 
-    return docs.join(repeats(docs, least), ["doc_id", "th"], "left").select("doc_id", "text", "units").mapInArrow(cut, RESULT)
+    return docs.join(repeats(docs, least), "doc_id", "left").select("doc_id", "text", "units").mapInArrow(cut, RESULT)
 
 
 def op9(docs: DataFrame) -> DataFrame:
