@@ -17,3 +17,5 @@ class ParseError(EngineError):
     def __init__(self, message: str, span: tuple[int, int], expected: tuple[str, ...] = (), found: str = "") -> None:
         super().__init__(f"{message} at byte {span[0]}")
         self.message, self.span, self.expected, self.found = message, span, expected, found
+        #: All errors that the parser went on to find, this one first.
+        self.errors: tuple[ParseError, ...] = (self,)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import dataclasses
+from decimal import Decimal
 from typing import Any
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -12,6 +14,19 @@ from .errors import EngineError
 from .sources.tables import fields_of
 
 
+def _plain(value: Any) -> Any:
+    """Python values of dynamic ones."""
+    if hasattr(value, "toPython"):
+        value = _plain(value.toPython())
+    if isinstance(value, Decimal):
+        return float(value)
+    if isinstance(value, list):
+        return [_plain(v) for v in value]
+    if isinstance(value, dict):
+        return {k: _plain(v) for k, v in value.items()}
+    return value
+
+
 class Result:
     def __init__(self, df: DataFrame) -> None:
         self.df = df
@@ -25,8 +40,13 @@ class Result:
     def rows(self) -> list[tuple]:
         """All rows, on the driver."""
         if self._rows is None:
-            plain = lambda v: v.toPython() if hasattr(v, "toPython") else v
-            self._rows = [tuple(plain(v) for v in r) for r in self.df.collect()]
+            try:
+                found = self.df.collect()
+            except PySparkException as e:
+                if "USER_RAISED_EXCEPTION" in str(e) or "SCALAR_SUBQUERY_TOO_MANY_ROWS" in str(e) or "DIVIDE_BY_ZERO" in str(e):
+                    raise EngineError(str(e).splitlines()[0]) from e
+                raise
+            self._rows = [tuple(_plain(v) for v in r) for r in found]
         return self._rows
 
     def maps(self) -> list[dict[str, Any]]:
