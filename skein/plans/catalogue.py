@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from skein.database import Database
 
+from . import api
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -33,11 +35,41 @@ def database(spark: SparkSession, sf_dir: str, sql: str) -> Database:
     if "event_props" in sql:
         raw = spark.read.parquet(f"{sf_dir}/events.parquet")
         db.register("event_props", raw.select("event_id", F.from_json("props", "struct<k:bigint>").alias("props"), F.from_json("props", "map<string,bigint>").alias("entries"), F.parse_json("props").alias("any")))
+    if "page_rows" in sql:
+        db.register("page_rows", page_rows(spark))
+    if "mixed_events" in sql:
+        db.register("mixed_events", mixed_events(spark, sf_dir))
     db.register_function("prefix", 1, 1, "string", eval=lambda s: None if s is None else "x-" + s)
     db.register_function("shout", 1, 1, "string", native=lambda s: f"upper({s})")
     return db
 
 
+# The generator and the three query shapes of the published micro-benchmark.
+PAGE_ROWS = 20_000
+PAGES = (
+    "select * from page_rows where featured = true and draft = false and section = 'posts' order by updated desc limit 20",
+    "select distinct section from page_rows order by section asc",
+    "select section, count(distinct views) as n from page_rows where draft = false group by section order by section asc",
+)
+
+
+def page_rows(spark: SparkSession) -> DataFrame:
+    """The micro-benchmark's table."""
+    section = "element_at(array('posts', 'notes', 'docs'), int(id % 3) + 1) AS section"
+    updated = "timestamp_ntz'2026-01-01 00:00:00' + make_dt_interval(0, 0, int(id)) AS updated"
+    return spark.range(PAGE_ROWS).selectExpr("id + 1 AS id", "concat('Page ', id + 1) AS title", section, "id % 9 = 0 AS featured", "id % 11 = 0 AS draft", updated, "7 * id % 1000 AS views")
+
+
+_PAGE_SQL = f"(select i + 1 as id, 'Page ' || (i + 1) as title, (['posts', 'notes', 'docs'])[i % 3 + 1] as section, i % 9 = 0 as featured, i % 11 = 0 as draft, timestamp '2026-01-01 00:00:00' + to_minutes(i) as updated, 7 * i % 1000 as views from range({PAGE_ROWS}) t(i))"
+
+
+def mixed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a dynamic column: whole numbers, floats, text, truth and lists in turn (kind 0 to 4)."""
+    value = """CASE event_id % 5 WHEN 0 THEN string(user_id) WHEN 1 THEN concat(user_id, '.5') WHEN 2 THEN concat('"u', user_id, '"')
+        WHEN 3 THEN IF(user_id % 2 = 0, 'true', 'false') ELSE concat('[', user_id, ',"a",', user_id, '.5]') END"""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id", "user_id", "event_id % 5 AS kind", f"parse_json({value}) AS v")
+
+
 def run(spark: SparkSession, sf_dir: str, case: Case) -> DataFrame:
     db = database(spark, sf_dir, case.sql)
     if case.prepared:
@@ -120,6 +152,40 @@ CASES: dict[str, Case] = {
     "q_bench_filter_topn": Case("select l_orderkey, l_linenumber, l_shipdate from lineitem where l_returnflag = 'N' and l_linestatus = 'O' and l_linenumber = 1 order by l_shipdate desc, l_orderkey limit 20", "select l_orderkey, l_linenumber, l_shipdate from lineitem where l_returnflag = 'N' and l_linestatus = 'O' and l_linenumber = 1 order by l_shipdate desc, l_orderkey limit 20"),
     "q_bench_distinct": Case("select distinct event_type from events order by event_type asc", "select distinct event_type from events"),
     "q_bench_group_distinct": Case("select event_type, count(distinct user_id) as n from events where event_id > 10 group by event_type order by event_type asc", "select event_type, count(distinct user_id) as n from events where event_id > 10 group by event_type"),
+    "q_pages_filter_topn": Case(PAGES[0], f"select * from {_PAGE_SQL} where featured and not draft and section = 'posts' order by updated desc limit 20"),
+    "q_pages_filter_topn_prepared": Case(PAGES[0], f"select * from {_PAGE_SQL} where featured and not draft and section = 'posts' order by updated desc limit 20", prepared=True),
+    "q_pages_distinct": Case(PAGES[1], f"select distinct section from {_PAGE_SQL}"),
+    "q_pages_group_distinct": Case(PAGES[2], f"select section, count(distinct views) as n from {_PAGE_SQL} where not draft group by section"),
+    "q_pages_group_distinct_prepared": Case(PAGES[2], f"select section, count(distinct views) as n from {_PAGE_SQL} where not draft group by section", prepared=True),
+    "q_count_null": Case("select count(null) as a, sum(null) as b, count(*) as n from nation", "select count(null) as a, cast(null as bigint) as b, count(*) as n from nation"),
+    "q_sub_on_then_right": Case(
+        "select n.n_name, r.r_name, c.c_custkey from nation n join region r on r.r_regionkey = (select max(x.r_regionkey) from region x where x.r_regionkey <= n.n_nationkey) right join customer c on c.c_nationkey = n.n_nationkey and r.r_regionkey < 3",
+        "select n_name, r_name, c_custkey from (select * from nation join region on r_regionkey = least(n_nationkey, 4)) right join customer on c_nationkey = n_nationkey and r_regionkey < 3",
+    ),
+    "q_sub_on_left": Case(
+        "select n.n_name, r.r_name from nation n left join region r on r.r_regionkey = (select max(x.r_regionkey) from region x where x.r_regionkey < n.n_regionkey) and n.n_nationkey < (select max(r_regionkey) from region) * 3",
+        "select n_name, r_name from nation left join region on r_regionkey = n_regionkey - 1 and n_nationkey < 12",
+    ),
+    "q_sub_on_right": Case("select n.n_name, r.r_name from nation n right join region r on n.n_nationkey = (select max(x.n_nationkey) from nation x where x.n_regionkey = r.r_regionkey and x.n_nationkey < 9)", "select n_name, r_name from region left join (select n_regionkey as k, max_by(n_name, n_nationkey) as n_name from nation where n_nationkey < 9 group by 1) on k = r_regionkey"),
+    "q_limit_large": Case("select o_orderkey from orders order by o_orderkey limit @n", "select o_orderkey from orders", (), {"n": 2**40}),
+    "q_qualified_order": Case("select props.props.k as k, props.event_id from event_props props where props.props.k > 90", "select cast(json_extract(props, '$.k') as bigint) as k, event_id from events where cast(json_extract(props, '$.k') as bigint) > 90"),
+    "q_alias_scope": Case("select nation.n_name, r.n_name as other from nation, nation r where nation.n_nationkey = r.n_regionkey", "select a.n_name, b.n_name as other from nation a, nation b where a.n_nationkey = b.n_regionkey"),
+    "q_unnest_first": Case("select v.value, n.n_name from unnest(?) v join nation n on n.n_nationkey = v.value", "select cast(n_nationkey as bigint) as value, n_name from nation where n_nationkey in (2, 4, 8)", ([2, 4, 8, 400],)),
+    "q_unnest_dynamic": Case("select m.event_id, x.value is 'a' as a from (select event_id, v from mixed_events where kind = 4) m join unnest(m.v) x on x.value is not m.event_id", "select event_id, x = 'a' as a from events, (values ('i'), ('a'), ('f')) t(x) where event_id % 5 = 4 and (x <> 'i' or user_id <> event_id)"),
+    "q_unnest_dynamic_left": Case("select m.event_id, x.value is null as none from (select event_id, v from mixed_events where kind = 4) m left join unnest(m.v) x on x.value = 7", "select event_id, user_id <> 7 as none from events where event_id % 5 = 4"),
+    "q_dyn_equal": Case("select event_id from mixed_events where v = 7 or v = ? or v = 'u9' or v = true", "select event_id from events where event_id % 5 = 0 and user_id = 7 or event_id % 5 = 1 and user_id = 8 or event_id % 5 = 2 and user_id = 9 or event_id % 5 = 3 and user_id % 2 = 0", (8.5,)),
+    "q_dyn_compare": Case("select event_id from mixed_events where v > 20 or v <= ?", "select event_id from events where event_id % 5 = 0 and user_id > 20 or event_id % 5 = 1 and user_id < 4", (4.0,)),
+    "q_dyn_in": Case("select event_id, v in (3, 'u3') as a, v not in (3, 'u3') as b from mixed_events", "select event_id, event_id % 5 in (0, 2) and user_id = 3 as a, not (event_id % 5 in (0, 2) and user_id = 3) as b from events"),
+    "q_dyn_join": Case("select a.event_id as x, b.event_id as y from mixed_events a join mixed_events b on a.v = b.v where a.event_id < 100 and b.event_id < 100", "select a.event_id as x, b.event_id as y from events a join events b on a.event_id % 5 = b.event_id % 5 and a.event_id % 5 < 4 and (a.user_id = b.user_id or a.event_id % 5 = 3 and a.user_id % 2 = b.user_id % 2) where a.event_id < 100 and b.event_id < 100"),
+    "q_dyn_order": Case("select event_id from mixed_events where kind != 4 order by v desc, event_id limit 2000", "select event_id from events where event_id % 5 < 4 order by case event_id % 5 when 0 then -user_id end nulls last, case event_id % 5 when 1 then -user_id end nulls last, case event_id % 5 when 2 then 'u' || user_id end desc nulls last, case event_id % 5 when 3 then user_id % 2 end nulls last, event_id limit 2000"),
+    "q_dyn_group": Case("select t.n, count(*) as m from (select v, count(*) as n from mixed_events group by v) t group by t.n", "select n, count(*) as m from (select count(*) as n from events group by event_id % 5, case event_id % 5 when 3 then user_id % 2 else user_id end) group by n"),
+    "q_dyn_distinct": Case("select count(*) as n from (select distinct v from mixed_events) t", "select count(distinct (event_id % 5, case event_id % 5 when 3 then user_id % 2 else user_id end)) as n from events"),
+    "q_dyn_count_distinct": Case("select kind, count(distinct v) as n from mixed_events group by kind", "select event_id % 5 as kind, count(distinct case event_id % 5 when 3 then user_id % 2 else user_id end) as n from events group by 1"),
+    "q_dyn_max": Case("select event_id from mixed_events where kind = 0 and v = (select max(v) from mixed_events where kind = 0)", "select event_id from events where event_id % 5 = 0 and user_id = (select max(user_id) from events where event_id % 5 = 0)"),
+    "q_dyn_sum": Case("select user_id, avg(v) as a, sum(v) = ? as b from mixed_events where kind = 1 group by user_id", "select user_id, user_id + 0.5::double as a, sum(user_id + 0.5) = 11.5 as b from events where event_id % 5 = 1 group by user_id", (11.5,)),
+    "q_dyn_arith": Case("select event_id, v * 2 + 1 as a, v / 3 as b from mixed_events where kind = 0", "select event_id, user_id * 2 + 1 as a, user_id // 3 as b from events where event_id % 5 = 0"),
+    "q_dyn_len": Case("select event_id, len(v) as n from mixed_events where kind = 2 or kind = 4", "select event_id, case event_id % 5 when 2 then cast(strlen('u' || user_id) as bigint) else 3 end as n from events where event_id % 5 in (2, 4)"),
+    "q_dyn_contains": Case("select event_id, contains(v, 'a') as a, contains(v, 7) as b from mixed_events where kind = 4", "select event_id, true as a, user_id = 7 as b from events where event_id % 5 = 4"),
 }
 
 
@@ -129,8 +195,8 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, d, case=case: run(spark, d, case) for name, case in CASES.items()}
+    return {name: lambda spark, d, case=case: run(spark, d, case) for name, case in CASES.items()} | {name: made for name, (made, _) in api.CASES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: case.oracle for name, case in CASES.items()}
+    return {name: case.oracle for name, case in CASES.items()} | {name: sql for name, (_, sql) in api.CASES.items()}

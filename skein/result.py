@@ -6,6 +6,7 @@ import dataclasses
 from decimal import Decimal
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -42,7 +43,7 @@ class Result:
         if self._rows is None:
             try:
                 found = self.df.collect()
-            except PySparkException as e:
+            except (PySparkException, Py4JJavaError) as e:
                 if "USER_RAISED_EXCEPTION" in str(e) or "SCALAR_SUBQUERY_TOO_MANY_ROWS" in str(e) or "DIVIDE_BY_ZERO" in str(e):
                     raise EngineError(str(e).splitlines()[0]) from e
                 raise

@@ -23,7 +23,7 @@ def normal(rows):
     return sorted((tuple("NULL" if v is None else f"{v:.9g}" if isinstance(v, float) and not math.isnan(v) else str(v) for v in r) for r in rows))
 
 
-@pytest.mark.parametrize("name", catalogue.CASES)
+@pytest.mark.parametrize("name", catalogue.queries())
 def test_against_duckdb(spark, duck, name):
     got = catalogue.queries()[name](spark, DATA)
     want = duck.sql(catalogue.oracle_sql()[name])
