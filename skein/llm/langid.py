@@ -4,7 +4,10 @@ Counts come from a bounded sample of labelled rows (SAMPLE, by a hash of doc_id)
 most BUCKETS x languages, is broadcast, and whole texts are scored in slices by numpy gathers and segment sums.
 
 A null text, one without letters, or an empty training set gives `und` with score 0. Ties go to the language that
-sorts first. Only doc_id, text and, in training rows, lang are read.
+sorts first. A very long text is scored whole, alone in its slice. Rows that repeat a doc_id are predicted each by its
+own text; rows without doc_id are predicted, teach nothing, and have no fold (held_out is null). The matrix is broadcast
+only up to LANGUAGES languages, more are an error. An empty table gives an empty one. Only doc_id, text and, in
+training rows, lang are read; other columns go, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +26,8 @@ ORDERS = (1, 2, 3)
 #: Labelled rows that are learnt from, about, at most.
 SAMPLE = 20_000
 UNKNOWN = "und"
+#: Distinct languages that the broadcast matrix may have: 256 MB of floats.
+LANGUAGES = 1024
 
 
 def letters() -> np.ndarray:
@@ -74,6 +79,8 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndar
     if not len(rows):
         return None
     langs = sorted(rows["lang"].unique())
+    if len(langs) > LANGUAGES:
+        raise ValueError(f"{len(langs)} languages; the matrix that is broadcast takes {LANGUAGES}")
     counts = np.zeros((BUCKETS + 1, len(langs)))
     counts[rows["bucket"], rows["lang"].map({x: i for i, x in enumerate(langs)})] = rows["n"]
     priors = np.log(np.maximum(counts[BUCKETS], 1) / counts[BUCKETS].sum())

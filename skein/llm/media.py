@@ -5,7 +5,9 @@ writes its payloads into tar shards in the shared folder, one member for each di
 digest; rows carry digest, shard, offset and length. A second pass fills metadata columns by range reads of the
 header alone, and, for features, reads the stored bytes.
 
-Null texts count as empty: 64 zero bytes. Equal texts share a member within a shard. A task that is run again
+Null texts count as empty: 64 zero bytes. Equal texts share a member within a shard. A very long text is one member,
+read and decoded whole; a worker holds it some four times over. Rows that repeat a doc_id, and rows without one, are
+stored and read like others. An empty table gives an empty one. Only doc_id and text are read. A task that is run again
 writes shards under new names; rows of the manifest only ever name shards of the attempt that was committed.
 """
 

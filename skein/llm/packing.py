@@ -5,8 +5,10 @@ along the room that is left. Documents may be cut: what fills a sequence alone g
 together, a gap that no remainder fits is filled by cutting one, and a task's last sequence is cut into lengths that
 are powers of two, which need no padding. Examples of instruction data stay whole.
 
-Null texts count as empty (one token, the end). A sequence's id holds the task's partition, so ids are unique and a
-task that runs again gives the same ones. Only the named columns are read.
+Null texts count as empty (one token, the end). A very long text is encoded whole; its full sequences leave at once.
+Of pieces that fit equally well the one that waits longest is taken. Rows that repeat a doc_id, and rows without one,
+are documents of their own. A sequence's id holds the task's partition, so ids are unique and a task that runs again
+gives the same ones. An empty table gives an empty one. Only the named columns are read, whatever the others are called.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import texts
 
@@ -26,6 +29,8 @@ LENGTH = 1024
 #: Pieces that wait at once for a sequence; a full window is packed down to half.
 WINDOW = 2048
 SEGMENTS = 256
+#: Tokens, turns and loss-bearing tokens of a sequence of conversations.
+CONVERSATION_LIMITS = (2048, 16, 1024)
 #: Distinct words whose ids a worker keeps.
 WORDS = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -102,7 +107,8 @@ class Packer:
     def add(self, item, demand: tuple[int, int, int]) -> None:
         """Items are passed back with their first token, their number of tokens and their place."""
         if (np.array(demand) > self.limits).any():
-            raise ValueError(f"{item} exceeds a limit: {demand} against {self.limits.tolist()}")
+            self.done.append([(item, 0, demand[0])])
+            return
         self.items.append((item, 0))
         self.demand.append(demand)
         if len(self.items) >= WINDOW:
@@ -210,7 +216,7 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, tokenizers_path: str |
 def pack_examples(examples: DataFrame, id_col: str, tokens: str, segments: str, loss: str, limits: tuple[int, int, int]) -> DataFrame:
     """Places whole examples of instruction data: id, sequence_id, offset (in tokens).
 
-    Null demands count as 0. An example that exceeds a limit by itself is an error.
+    Null demands count as 0. An example that exceeds a limit by itself has a sequence of its own.
     """
     kind = dict(examples.dtypes)[id_col]
 
@@ -244,6 +250,29 @@ def pack_examples(examples: DataFrame, id_col: str, tokens: str, segments: str,
     return examples.select(id_col, tokens, segments, loss).mapInArrow(pack, f"`{id_col}` {kind}, sequence_id long, offset long")
 
 
+def conversation_demands(conversations: DataFrame, tokenizers_path: str | None = None) -> DataFrame:
+    """conv_id, tokens, segments (turns) and loss (tokens of the assistant's turns); each turn ends with the id 0.
+
+    Null texts count as empty; turns without conv_id are one conversation.
+    """
+
+    def count(batches):
+        bpe = byte_bpe_50k(tokenizers_path)
+        for batch in batches:
+            n = [len(bpe.encode(text.as_py())) // 4 + 1 for text in batch.column("text")]
+            loss = [size if role == "assistant" else 0 for size, role in zip(n, batch.column("role").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(n, pa.int64()), pa.array(loss, pa.int64())], ["conv_id", "tokens", "loss"])
+
+    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "role", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    counted = turns.mapInArrow(count, "conv_id long, tokens long, loss long")
+    return counted.groupBy("conv_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("segments"), F.sum("loss").alias("loss"))
+
+
+def pack_conversations(conversations: DataFrame, limits: tuple[int, int, int] = CONVERSATION_LIMITS) -> DataFrame:
+    """Whole conversations packed under limits on tokens, turns and loss-bearing tokens: conv_id, sequence_id, offset."""
+    return pack_examples(conversation_demands(conversations), "conv_id", "tokens", "segments", "loss", limits)
+
+
 def op8(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return pack_documents(docs)

@@ -4,11 +4,13 @@ Texts become counts of hashed byte bigrams and of trigrams of their shape (lette
 and weighted by IDF within the fitting sample. A truncated SVD of a bounded sample of labelled rows (SAMPLE) gives
 the latent axes; the sample's vectors (at most about SAMPLE x RANK floats) and the axes are broadcast. Every
 document's cosines with all labelled vectors are computed exactly, in blocks, and its NEIGHBOURS nearest vote, each
-label weighted by similarity.
+label weighted by its similarity to the power POWER. Of neighbours with equal cosines those of the smallest doc_id vote.
 
 Null or empty texts have the zero vector, whose cosines are all 0; the score is then the sample's share of label 1.
-Without labelled rows the score is 0.5. Several labels of one document count by their mean. Only doc_id, text and
-labels' doc_id and quality are read.
+A very long text is counted whole, alone in its slice. Rows that repeat a doc_id are scored each by its own text; of
+labelled ones one is fitted. Rows without doc_id are scored, and have no fold (held_out is null); labels without
+doc_id or quality teach nothing. Without labelled rows the score is 0.5. Several labels of one document count by their
+mean. An empty table gives an empty one. Only doc_id, text and labels' doc_id and quality are read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ HALF = 2048
 WIDTH = 2 * HALF
 RANK = 64
 NEIGHBOURS = 15
+#: A vote weighs the cosine to this power, so that far neighbours count little.
+POWER = 4
 #: Labelled rows that are fitted, about, at most.
 SAMPLE = 4000
 #: Documents whose counts are held at once.
@@ -96,7 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     rows = texts(docs).join(F.broadcast(chosen), "doc_id").mapInArrow(measure, "doc_id long, vote double, x binary").toPandas()
     if not len(rows):
         return None
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
+    rows = rows.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     x = np.stack([np.frombuffer(b, np.float16) for b in rows["x"]]).astype(np.float32)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(0))).astype(np.float32) + 0.1
     x *= idf
@@ -111,6 +115,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     return Model(idf, axes, _unit(x @ axes), votes, float(votes.mean()))
 
 
+def nearest(cosines: np.ndarray, k: int) -> np.ndarray:
+    """Each row's k columns of the largest cosines; of equal ones the first, which have the smallest doc_id."""
+    rows, n = cosines.shape
+    least = np.partition(cosines, n - k, axis=1)[:, n - k, None]
+    above, equal = cosines > least, cosines == least
+    room = k - above.sum(1, keepdims=True)
+    chosen = above | equal & (np.cumsum(equal, axis=1) <= room)
+    return np.nonzero(chosen)[1].reshape(rows, k)
+
+
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, the columns of keep (a text is never null then) and score (0 to 1, higher: label 1 likelier)."""
     shared = docs.sparkSession.sparkContext.broadcast(model and tuple(model))
@@ -125,8 +139,8 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> D
             k = min(NEIGHBOURS, len(model.votes))
             for part, x in _blocks(batch):
                 cosines = _unit((x * model.idf) @ model.axes) @ model.vectors.T
-                near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-                weight = np.maximum(np.take_along_axis(cosines, near, 1), 0) ** 4
+                near = nearest(cosines, k)
+                weight = np.maximum(np.take_along_axis(cosines, near, 1), 0) ** POWER
                 good, bad = (weight * model.votes[near]).sum(1), (weight * (1 - model.votes[near])).sum(1)
                 total = good + bad
                 out = np.where(total > 0, good / np.maximum(total, 1e-12), share)

@@ -17,6 +17,7 @@ def queries() -> dict:
         "op7_nearest": lambda spark, d: ann.op7(table(spark, d, "embeddings")),
         "op8_packing": lambda spark, d: packing.op8(table(spark, d, "documents")),
         "op9_line_dedup": lambda spark, d: lines.op9(table(spark, d, "documents")),
+        "pack_conversations": lambda spark, d: packing.pack_conversations(table(spark, d, "conversations")),
         "op10_mixing": lambda spark, d: mixing.op10(table(spark, d, "documents")),
     }
 

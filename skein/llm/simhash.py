@@ -7,8 +7,10 @@ A word has one nearest codeword; the words one bit away have one or six between
 its own codeword's key to one side of an equi-join and all keys of its neighbourhood to the other, so that any two
 within reach meet. The join verifies the distance, each task thins its links to a forest, and components follow.
 
-Equal fingerprints are one node, so copies are never paired. Null texts count as empty: fingerprint zero. Rows that
-repeat a doc_id are told apart by nothing but their texts. Only doc_id and text are read.
+Equal fingerprints are one node, so copies are never paired. Null texts count as empty: fingerprint zero. A very long
+text is hashed whole, its shingles in one array. Rows that repeat a doc_id are told apart by nothing but their texts;
+rows without doc_id get a fingerprint, and their component is the smallest doc_id that they reach, or null. An empty
+table gives an empty one. Only doc_id and text are read; other columns go, whatever their names.
 """
 
 from __future__ import annotations
