@@ -23,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle(), "op7_nearest": ann.oracle(), "op9_line_dedup": lines.oracle(), "op10_mixing": mixing.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op6_suffix_dedup": suffix.oracle(), "op7_nearest": ann.oracle(), "op9_line_dedup": lines.oracle(), "op10_mixing": mixing.oracle()}

@@ -391,6 +391,23 @@ def op6(docs: DataFrame) -> DataFrame:
     return docs.join(repeats(docs), ["doc_id", "th"], "left").select("doc_id", "text", "spans").mapInArrow(measure, schema)
 
 
+def oracle(length: int = MIN_LENGTH) -> str:
+    """DuckDB SQL that compares all windows by their bytes in hexadecimal. Like op6, for doc_ids that are neither null nor repeated."""
+    return f"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     parts AS (SELECT doc_id, first, h[2 * first + 1 : 2 * (first + 1000 + {length - 1})] AS part FROM (SELECT doc_id, h, unnest(range(0, strlen(h) // 2, 1000)) AS first FROM d)),
+     w AS (SELECT doc_id, first + i AS s, part[2 * i + 1 : 2 * (i + {length})] AS win FROM (SELECT *, unnest(range(0, strlen(part) // 2 - {length - 1})) AS i FROM parts)),
+     late AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY win ORDER BY doc_id, s) AS r FROM w) WHERE r > 1),
+     marked AS (SELECT *, coalesce(s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= {length}, false) AS joined FROM late),
+     island AS (SELECT *, sum(CAST(NOT joined AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS k FROM marked),
+     spans AS (SELECT doc_id, k, min(s) AS a, max(s) + {length} AS b FROM island GROUP BY doc_id, k),
+     gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans),
+     cut AS (SELECT doc_id, string_agg(h[2 * before + 1 : 2 * a], '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS n FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(strlen(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+       sha256(unhex(coalesce(head, '') || h[2 * coalesce(last, 0) + 1 :])) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)"""
+
+
 def dedup(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, text and the columns to be kept; repeats are cut out of the texts.
 

@@ -102,7 +102,7 @@ def duck(odd, sql):
     return found.columns, found.fetchall()
 
 
-@pytest.mark.parametrize("name", ["op1_license_scan", "op9_line_dedup", "op10_mixing"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op6_suffix_dedup", "op9_line_dedup", "op10_mixing"])
 def test_against_sql(spark, odd, name):
     """With one row for each doc_id, as the SQL wants it."""
     seen, rows = set(), []
@@ -111,7 +111,7 @@ def test_against_sql(spark, odd, name):
             seen.add(r[0])
             rows.append((r[0], (r[1] or "")[:40_000] or r[1], *r[2:]))
     df = frame(spark, rows)
-    got = {"op1_license_scan": licenses.op1, "op9_line_dedup": lines.op9, "op10_mixing": mixing.op10}[name](df)
+    got = {"op1_license_scan": licenses.op1, "op6_suffix_dedup": suffix.op6, "op9_line_dedup": lines.op9, "op10_mixing": mixing.op10}[name](df)
     columns, want = duck(rows, oracle_sql()[name])
     clean = lambda rows: sorted(repr(tuple(None if v is None or v is pd.NA else v for v in r)) for r in rows)
     assert clean(got.select(*columns).collect()) == clean(want)
@@ -391,4 +391,4 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
 
 
 def test_queries_with_sql():
-    assert set(oracle_sql()) <= set(queries()) and {"op1_license_scan", "op7_nearest", "op9_line_dedup", "op10_mixing"} == set(oracle_sql())
+    assert set(oracle_sql()) <= set(queries()) and {"op1_license_scan", "op6_suffix_dedup", "op7_nearest", "op9_line_dedup", "op10_mixing"} == set(oracle_sql())
