@@ -11,10 +11,16 @@ Equal fingerprints are one node, so copies are never paired. Null texts count as
 text is hashed whole, its shingles in one array. Rows that repeat a doc_id are told apart by nothing but their texts;
 rows without doc_id get a fingerprint, and their component is the smallest doc_id that they reach, or null. An empty
 table gives an empty one. Only doc_id and text are read; other columns go, whatever their names.
+
+similar() is for near-duplicates by similarity: texts whose sets of word shingles have a Jaccard similarity of 0.8 or
+more. A fingerprint of such shingles would be too far away (one changed word changes five of them), so a text has
+several, each of its set of single words under another seed. Fingerprints within reach, of any seed, give candidate
+components; within one all texts are compared exactly. What no seed brings together, in one step or more, is missed.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -23,11 +29,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
-from .graph import components, forests
+from .common import materialise, mixed, n_tasks, ragged, texts
+from .graph import _forest, components, forests
 
 REACH = 3
 WORDS = 3
+#: Words of a shingle, and least similarity, of similar().
+SHINGLE = 5
+SIMILARITY = 0.8
+#: Fingerprints of a text in similar().
+SEEDS = 5
+#: Texts, and bytes of text, of a candidate component beyond which it is dealt out in blocks.
+MEMBERS = 1024
+BYTES = 4 << 20
 #: The Golay code's generator polynomial.
 GENERATOR = 0xC75
 
@@ -42,7 +56,11 @@ def fingerprint(raw: bytes) -> int:
         hashes = [digest(b" ".join(words), 42)]
     else:
         hashes = [digest(b"%b %b %b" % x, 42) for x in zip(words, words[1:], words[2:])]
-    h = np.array(hashes, "<u8")
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for a in range(0, len(h), 1 << 16):
         part = h[a : a + (1 << 16)]
@@ -141,6 +159,120 @@ def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_prints(raw: bytes, seeds: int) -> list[int]:
+    """One fingerprint for each seed, of the set of a text's words; zero without words."""
+    h = np.array([xxhash.xxh64_intdigest(x, 42) for x in set(raw.lower().split())], "<u8")
+    return [majority(mixed(h + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))) for k in range(seeds)]
+
+
+def shingles(raw: bytes, words: int) -> np.ndarray:
+    """Hashes of a text's distinct shingles: the whole sequence, perhaps empty, if the words are fewer."""
+    found = raw.lower().split()
+    whole = [b" ".join(found[i : i + words]) for i in range(max(len(found) - words + 1, 1))]
+    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in whole], "<u8"))
+
+
+def similar_pairs(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of sets with at least that Jaccard similarity: so many that all such pairs are connected."""
+    m = len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    owner = np.repeat(np.arange(m), size)
+    _, name = np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(name, kind="stable")
+    count = np.bincount(name)
+    first, holders = np.cumsum(count) - count, owner[order]
+    ends, label = np.cumsum(size), np.arange(m)
+    a, b = [], []
+    for i in range(m):
+        if (label == label[i]).all():
+            break
+        own = name[ends[i] - size[i] : ends[i]]
+        both = np.bincount(holders[ragged(first[own], count[own])], minlength=m)
+        near = np.flatnonzero((both >= similarity * (size + size[i] - both)) & (label != label[i]))
+        a.append(np.full(len(near), i))
+        b.append(near)
+        label[np.isin(label, label[near])] = label[i]
+    return np.concatenate(a or [np.empty(0, np.int64)]), np.concatenate(b or [np.empty(0, np.int64)])
+
+
+def _verified(dealt: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a and b: links of texts (th), compared within each group (root, i, j)."""
+
+    def compare(batches):
+        group: dict[int, np.ndarray] = {}
+        last = None
+
+        def close():
+            th = np.array(list(group), np.int64)
+            a, b = (th[x] for x in similar_pairs(list(group.values()), similarity))
+            group.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            places = zip(*(batch.column(c).to_pylist() for c in ("root", "i", "j")), strict=True)
+            for place, th, text in zip(places, batch.column("th").to_pylist(), batch.column("text"), strict=True):
+                if place != last and len(group) > 1:
+                    yield close()
+                if place != last:
+                    group.clear()
+                    last = place
+                if th not in group:
+                    group[th] = shingles(text.as_buffer().to_pybytes() if text.as_buffer() is not None else b"", words)
+        if len(group) > 1:
+            yield close()
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARITY, seeds: int = SEEDS) -> DataFrame:
+    """doc_id and component_id: the smallest doc_id of those that links join, a link being an exact similarity.
+
+    Equal texts are one node (by a 64-bit hash). Null texts count as empty; texts without words are equal, texts with
+    fewer words than a shingle have one. Odd rows are as with near_duplicates().
+    """
+
+    def compute(batches):
+        for batch in batches:
+            fps = [word_prints(x.as_buffer().to_pybytes() if x.as_buffer() is not None else b"", seeds) for x in batch.column("text")]
+            fps = pa.array(np.array(fps, np.uint64).reshape(-1).view(np.int64))
+            fps = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * seeds), fps)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), batch.column("size"), fps], ["doc_id", "th", "size", "fps"])
+
+    own = texts(docs).withColumn("th", F.xxhash64("text"))
+    sized = own.withColumn("size", F.octet_length("text").cast("long"))
+    prints = materialise(sized.mapInArrow(compute, "doc_id long, th long, size long, fps array<long>"), "prints")
+    nodes = materialise(prints.groupBy("th").agg(F.min("doc_id").alias("first_id"), F.first("size").alias("size"), F.first("fps").alias("fps")), "nodes")
+
+    met = []
+    for k in range(seeds):
+        printed = nodes.select("th", F.col("fps")[k].alias("fp"))
+        by_print = materialise(printed.groupBy("fp").agg(F.min("th").alias("node")), "by-print")
+        equal = printed.join(by_print, "fp").where("th != node").select(F.col("th").alias("a"), F.col("node").alias("b"))
+        close = links(by_print)
+        for end in ("a", "b"):
+            close = close.join(by_print.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+        met.append(materialise(equal.unionByName(close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "met"))
+    found = components(reduce(DataFrame.unionByName, met))
+
+    members = found.unionByName(found.select(F.col("root").alias("node"), "root").distinct()).withColumnRenamed("node", "th")
+    members = members.join(nodes.select("th", "first_id", "size"), "th")
+    blocks = F.greatest(F.ceil(F.count("*") / MEMBERS), F.ceil(F.sum("size") / BYTES), F.lit(1)).cast("int")
+    members = members.join(members.groupBy("root").agg(blocks.alias("blocks")), "root")
+    block = F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")
+    # one block is one group; of more, each pair of different blocks is
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: (F.col("blocks") == 1) | (x != block))
+    pairs = F.transform(others, lambda x: F.struct(F.least(x, block).alias("i"), F.greatest(x, block).alias("j")))
+    members = members.select("th", "first_id", "root", F.explode(pairs).alias("pair")).select("th", "first_id", "root", "pair.i", "pair.j")
+    dealt = own.join(members, "th").where("doc_id <=> first_id").select("root", "i", "j", "th", "text")
+    dealt = dealt.repartition(n_tasks(docs.sparkSession), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    linked = components(_verified(dealt, words, similarity))
+
+    rooted = nodes.join(linked, nodes["th"] == linked["node"], "left").select("th", "first_id", F.coalesce("root", "th").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    by_text = rooted.join(least, "root").select("th", "component_id")
+    return prints.select("doc_id", "th").join(by_text, "th").select("doc_id", "component_id")
+
+
 def op4(docs: DataFrame) -> DataFrame:
     """The contract's columns."""
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

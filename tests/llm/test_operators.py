@@ -139,6 +139,46 @@ def test_golay_tables_miss_no_pair_within_reach(spark):
         assert linked[a] == linked[b]
 
 
+def test_pairs_of_similar_sets():
+    rng = np.random.default_rng(4)
+    base = [rng.choice(400, 40, replace=False) for _ in range(8)]
+    sets = [np.unique(np.concatenate((x[: rng.integers(30, 41)], rng.integers(0, 400, rng.integers(0, 4))))).astype("<u8") for x in base for _ in range(6)]
+    alike = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    a, b = simhash.similar_pairs(sets, 0.8)
+    assert alike and {(max(x), min(x)) for x in zip(a.tolist(), b.tolist(), strict=True)} <= set(alike)
+    assert roots(range(len(sets)), zip(a.tolist(), b.tolist(), strict=True)) == roots(range(len(sets)), alike)
+
+
+@pytest.mark.parametrize("members", [1024, 5])
+def test_similar_texts_by_brute_force(spark, monkeypatch, members):
+    """No link below the similarity; of those above it, all of 0.9 and nine tenths of the others."""
+    monkeypatch.setattr(simhash, "MEMBERS", members)
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(3000)]
+    texts = []
+    for _ in range(15):
+        whole = rng.choices(vocabulary, k=rng.randint(60, 400))
+        texts.append(" ".join(whole))
+        for share in (0.004, 0.008, 0.012, 0.016, 0.03, 0.06):
+            texts.append(" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in whole))
+    texts += [texts[0], texts[0].upper(), texts[9] + " \n", "", None, " \t", "one two", "One  two", "one three", texts[3][: len(texts[3]) // 2]]
+    df = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(texts)], "doc_id long, text string, th string, fps string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df).collect()}
+
+    def five(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [five(t) for t in texts]
+    alike = {(i, j): len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i in range(len(sets)) for j in range(i)}
+    near = [x for x, v in alike.items() if v >= 0.8]
+    want = roots(range(len(sets)), near)
+    assert all(want[i] == want[c] for i, c in got.items())
+    assert all(got[i] == got[j] for (i, j) in near if alike[i, j] >= 0.9)
+    assert sum(got[i] == got[j] for i, j in near) >= 0.9 * len(near)
+    assert simhash.similar(df.limit(0)).count() == 0
+
+
 def test_components_of_a_chain(spark):
     rng = random.Random(2)
     order = rng.sample(range(1000), 400)
