@@ -28,9 +28,12 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest doc_id (none comes last); equal rows stay one."""
+    """Of each group of near-duplicates the row with the smallest doc_id (none comes last); equal rows stay one.
+
+    Near-duplicates share 0.8 or more of their five-word shingles; groups are what such links join.
+    """
     rows = docs.withColumn("row", ROW)
-    groups = simhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    groups = simhash.similar(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
     ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
     kept = groups.join(ids, "row").groupBy("component_id").agg(first.alias("first")).select(F.col("first.row").alias("row"))
