@@ -42,6 +42,9 @@ SEEDS = 5
 #: Texts, and bytes of text, of a candidate component beyond which it is dealt out in blocks.
 MEMBERS = 1024
 BYTES = 4 << 20
+#: Fingerprints with one key beyond which they are linked one after another, and rows that a task compares at once.
+FEW = 16
+MET_ROWS = 1 << 18
 #: The Golay code's generator polynomial.
 GENERATOR = 0xC75
 
@@ -118,7 +121,7 @@ def tables(fp: np.ndarray):
 
 
 def keys(fps: DataFrame, near: bool) -> DataFrame:
-    """key and fp: of the own codewords, or, if near, of the codewords of all words at most one bit away."""
+    """key, fp, own: keys of the own codewords, or, if near, of the codewords of all words at most one bit away."""
 
     def send(batches):
         code = Golay()
@@ -130,24 +133,87 @@ def keys(fps: DataFrame, near: bool) -> DataFrame:
                 if near:
                     found = np.sort(code.index((word[:, None] ^ flips).ravel()).reshape(len(fp), -1), axis=1)
                     new = np.concatenate((np.ones((len(fp), 1), bool), found[:, 1:] != found[:, :-1]), axis=1)
-                    key, own = (base[:, None] | found.astype(np.uint64))[new], np.broadcast_to(signed[:, None], found.shape)[new]
+                    key, fps = (base[:, None] | found.astype(np.uint64))[new], np.broadcast_to(signed[:, None], found.shape)[new]
+                    own = (found == code.index(word)[:, None])[new]
                 else:
-                    key, own = base | code.index(word).astype(np.uint64), signed
-                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.ascontiguousarray(own))], ["key", "fp"])
+                    key, fps, own = base | code.index(word).astype(np.uint64), signed, np.ones(len(fp), bool)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.ascontiguousarray(fps)), pa.array(own)], ["key", "fp", "own"])
 
-    return fps.select("fp").mapInArrow(send, "key long, fp long")
+    return fps.select("fp").mapInArrow(send, "key long, fp long, own boolean")
 
 
 def links(fps: DataFrame, reach: int = REACH) -> DataFrame:
     """a and b with the links' components, from distinct fingerprints (fp)."""
     if reach > REACH:
         raise ValueError(f"the tables find at most {REACH} differing bits")
-    left = keys(fps, False).withColumnRenamed("fp", "a")
-    right = keys(fps, True).withColumnRenamed("fp", "b")
+    left = keys(fps, False).select("key", F.col("fp").alias("a"))
+    right = keys(fps, True).select("key", F.col("fp").alias("b"))
     met = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach))
     return forests(met)
 
 
+def _connected(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within reach: so many that all such are connected. What one fingerprint reaches is one step."""
+    label, a, b = np.arange(len(fp)), [], []
+    for i in range(len(fp)):
+        if (label == label[i]).all():
+            break
+        near = np.flatnonzero((np.bitwise_count(fp ^ fp[i]) <= reach) & (label != label[i]))
+        if len(near):
+            a.append(np.full(len(near), fp[i]))
+            b.append(fp[near])
+            label[np.isin(label, label[near])] = label[i]
+    none = np.empty(0, np.uint64)
+    return np.concatenate(a or [none]), np.concatenate(b or [none])
+
+
+def _within(key: np.ndarray, fp: np.ndarray, own: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of rows with equal keys, which are sorted: of each few all that have an own key, of many a forest."""
+    head = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.append(head, len(key)))
+    few = (size > 1) & (size <= FEW)
+    left = ragged(head[few], size[few])
+    n, first = np.repeat(size[few], size[few]), np.repeat(head[few], size[few])
+    mine = own[left]
+    left, right = np.repeat(left[mine], n[mine]), ragged(first[mine], n[mine])
+    fine = (left != right) & (np.bitwise_count(fp[left] ^ fp[right]) <= reach)
+    parts = [(fp[left[fine]], fp[right[fine]])]
+    parts += [_connected(np.unique(fp[h : h + k]), reach) for h, k in zip(head[size > FEW].tolist(), size[size > FEW].tolist(), strict=True)]
+    a, b = (np.concatenate(x).view(np.int64) for x in zip(*parts, strict=True))
+    return _forest(a, b) if len(a) else (a, b)
+
+
+def forest_links(fps: DataFrame, reach: int = REACH) -> DataFrame:
+    """a and b with the components of links(), for dense groups: all that share a key meet in one task, and no pairs are sent."""
+    if reach > REACH:
+        raise ValueError(f"the tables find at most {REACH} differing bits")
+
+    def meet(batches):
+        held: list[tuple] = []
+        rows = 0
+
+        def found(columns):
+            a, b = _within(columns[0], columns[1].view(np.uint64), columns[2], reach)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "own")))
+            rows += len(batch)
+            if rows < MET_ROWS:
+                continue
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on
+            if end:
+                yield found([x[:end] for x in columns])
+            held = [tuple(x[end:].copy() for x in columns)]
+            rows = 0
+        if held:
+            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+
+    sent = keys(fps, True).repartition("key").sortWithinPartitions("key")
+    return sent.mapInArrow(meet, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id of those that links join."""
     prints = materialise(fingerprints(docs), "fingerprints")
@@ -248,7 +314,7 @@ def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARIT
         printed = nodes.select("th", F.col("fps")[k].alias("fp"))
         by_print = materialise(printed.groupBy("fp").agg(F.min("th").alias("node")), "by-print")
         equal = printed.join(by_print, "fp").where("th != node").select(F.col("th").alias("a"), F.col("node").alias("b"))
-        close = links(by_print)
+        close = forest_links(by_print)
         for end in ("a", "b"):
             close = close.join(by_print.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
         met.append(materialise(equal.unionByName(close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "met"))

@@ -139,6 +139,23 @@ def test_golay_tables_miss_no_pair_within_reach(spark):
         assert linked[a] == linked[b]
 
 
+@pytest.mark.parametrize(("few", "rows"), [(16, 1 << 18), (1, 100)])
+def test_links_of_dense_groups(spark, monkeypatch, few, rows):
+    """The components of all pairs within reach, where many fingerprints share their keys."""
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "MET_ROWS", rows)
+    rng = np.random.default_rng(6)
+    fps = np.repeat(rng.integers(0, 2**64, 5, dtype=np.uint64), 60)
+    for _ in range(4):
+        fps ^= np.where(rng.random(300) < 0.6, np.uint64(1) << rng.integers(0, 64, 300, dtype=np.uint64), np.uint64(0))
+    fps = np.unique(fps)
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]
+    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    found = [(place[r["a"]], place[r["b"]]) for r in simhash.forest_links(df).collect()]
+    assert len(pairs) > 1000 and roots(range(len(fps)), found) == roots(range(len(fps)), pairs)
+
+
 def test_pairs_of_similar_sets():
     rng = np.random.default_rng(4)
     base = [rng.choice(400, 40, replace=False) for _ in range(8)]
