@@ -9,15 +9,18 @@ Null texts count as empty. Of rows with equal doc_id and text one stays.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import mixing, packing, quality, simhash, suffix
 from skein.llm.common import materialise, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A row's identity: doc_id, which may be null or repeated, and text.
-ROW = F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
+
+def row_key() -> Column:
+    """A row's identity: doc_id, which may be null or repeated, and text. A function, as columns want a session."""
+    return F.xxhash64(F.col("doc_id").isNull(), F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +35,7 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
     Near-duplicates share 0.8 or more of their five-word shingles; groups are what such links join.
     """
-    rows = docs.withColumn("row", ROW)
+    rows = docs.withColumn("row", row_key())
     groups = simhash.similar(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id").distinct()
     ids = rows.select("row", F.col("doc_id").cast("long").alias("doc_id")).distinct()
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
@@ -52,11 +55,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A leaf's order is seeded by row, not by doc_id.
     """
-    keyed = materialise(mixing.leaves(docs.withColumn("doc_id", ROW)), "tokens")
+    keyed = materialise(mixing.leaves(docs.withColumn("doc_id", row_key())), "tokens")
     taken = mixing.choose(keyed, mixing.PLAN).select(F.col("doc_id").alias("row"), "epoch", "tokens", "take_tokens").distinct()
     words = F.split("text", r"(?<=\S)(?=\s)")  # each with the white space before it
     prefix = F.array_join(F.slice(words, F.lit(1), F.col("take_tokens").cast("int")), "")
-    cut = docs.withColumn("row", ROW).join(taken, "row").withColumn("text", F.when(F.col("take_tokens") < F.col("tokens"), prefix).otherwise(F.col("text")))
+    cut = docs.withColumn("row", row_key()).join(taken, "row").withColumn("text", F.when(F.col("take_tokens") < F.col("tokens"), prefix).otherwise(F.col("text")))
     return cut.withColumn("n_chars", F.when(F.col("take_tokens") < F.col("tokens"), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
