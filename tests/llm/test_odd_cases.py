@@ -5,8 +5,11 @@ import hashlib
 import math
 import random
 import struct
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -392,3 +395,9 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
 
 def test_queries_with_sql():
     assert set(oracle_sql()) <= set(queries()) and {"op1_license_scan", "op6_suffix_dedup", "op7_nearest", "op9_line_dedup", "op10_mixing"} == set(oracle_sql())
+
+
+def test_queries_are_listed_without_a_session():
+    root = Path(__file__).parents[2]
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=root, capture_output=True, text=True, timeout=120)
+    assert "pipeline" in said.stdout.split(), said.stderr
