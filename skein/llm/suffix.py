@@ -11,8 +11,10 @@
    string; every occurrence but the earliest is a repeat.
 4. Repeats, as ranges of bytes, return to their documents.
 
-A group with over GROUP distinct runs is dealt out in blocks, each pair of which is one group, so that no task
-holds it whole. Order is (doc_id, start); matches never cross documents. Null texts count as empty. Rows without
+A group with over GROUP distinct runs, or GROUP_BYTES of them, is refined: its windows fall into two halves by the
+distance to their anchor, and those of a half share some bytes beyond the anchor, by which they form new groups. Equal
+windows stay together, each window is in one group, and after some rounds a group's windows are all equal. So no task
+holds such a group, and nothing is paired. Order is (doc_id, start); matches never cross documents. Null texts count as empty. Rows without
 doc_id take no part and keep their text. Rows that repeat a doc_id with another text are documents of equal rank:
 the same string at the same start of both stays in both. Only doc_id and text are read, bar columns to be carried.
 """
@@ -20,22 +22,24 @@ the same string at the same start of both stays in both. Only doc_id and text ar
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, mixed, n_tasks, ragged, slices, texts, trim
+from .common import SLICE_BYTES, discard, materialise, mixed, n_tasks, ragged, slices, texts, trim
 
 MIN_LENGTH = 100
 GRAM = 32
 STEP = 8
 #: Bytes of text of one Burrows-Wheeler transform, about.
 BATCH = 1 << 19
-#: Distinct runs of one anchor beyond which its group is dealt out in blocks.
+#: Distinct runs of one anchor, and their bytes, beyond which its group is refined.
 GROUP = 8192
-#: Groups dealt out in blocks that may be broadcast as a list.
+GROUP_BYTES = 1 << 22
+#: Groups to be refined that may be broadcast as a list.
 BROADCAST_ROWS = 100_000
 #: Stands after each run; no byte of UTF-8.
 END = 0xFF
@@ -57,16 +61,15 @@ def span_of(length: int) -> int:
     return length - min(GRAM, length // 2) + 1
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
-    """Anchor (hash), row, start within the row and number of windows of each run, and whether the anchor stands at several places in it."""
+def _anchored(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Sums of powers before each byte, hash of each gram, begin of each window, and place of the anchor of each window."""
     gram = min(GRAM, length // 2)
     n = len(data)
-    empty = tuple(np.empty(0, np.int64) for _ in range(5))
-    if n < length:
-        return empty
     up, down = powers
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
+    if n < length:
+        return total, np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     h = mixed((total[gram:] - total[: n - gram + 1]) * down[: n - gram + 1])
     low = np.uint64((1 << _POSITION_BITS) - 1)
     key = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -76,20 +79,52 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.nd
         width *= 2
     if span > width:
         key = np.minimum(key[: len(key) - (span - width)], key[span - width :])
-    at = (key & low).astype(np.int64)  # the anchor of each window
     starts = ragged(offsets[:-1], np.maximum(np.diff(offsets) - length + 1, 0))
+    return total, h, starts, (key & low).astype(np.int64)[starts]
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, length: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Anchor (hash), row, start within the row and number of windows of each run, and whether the anchor stands at several places in it."""
+    _, h, starts, at = _anchored(data, offsets, length, powers)
     if not len(starts):
-        return empty
-    anchor = h[at[starts]]
+        return tuple(np.empty(0, np.int64) for _ in range(5))
+    anchor = h[at]
     first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (starts[1:] != starts[:-1] + 1))))
     begin = starts[first]
     row = np.searchsorted(offsets, begin, "right") - 1
     size = np.diff(np.concatenate((first, [len(starts)])))
     # equal windows have their anchors at equal distances, so at different places; places never go back
-    several = at[begin] != at[begin + size - 1]
+    several = at[first] != at[first + size - 1]
     return anchor[first].view(np.int64), row, begin - offsets[row], size, several
 
 
+def depths(length: int) -> int:
+    """Halvings after which a group's windows are equal."""
+    return (span_of(length) - 1).bit_length()
+
+
+def refine(data: np.ndarray, offsets: np.ndarray, length: int, depth: int, powers: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Key, row, start within the row and number of windows of the parts into which runs fall after so many halvings.
+
+    Windows that begin high to low bytes before their anchor all hold the bytes from low before it to length - high after.
+    """
+    total, _, starts, at = _anchored(data, offsets, length, powers)
+    if not len(starts):
+        return tuple(np.empty(0, np.int64) for _ in range(4))
+    before = at - starts
+    low, high = np.zeros(len(starts), np.int64), np.full(len(starts), span_of(length) - 1)
+    for _ in range(depth):
+        middle = (low + high + 1) // 2
+        upper = before >= middle
+        low, high = np.where(upper, middle, low), np.where(upper, high, middle - 1)
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (low[1:] != low[:-1]) | (starts[1:] != starts[:-1] + 1))))
+    size = np.diff(np.concatenate((first, [len(starts)])))
+    a, b = at[first] - low[first], at[first] + length - high[first]
+    key = mixed((total[b] - total[a]) * powers[1][a]) ^ mixed(low[first].astype(np.uint64) + np.uint64(depth << 32))
+    row = np.searchsorted(offsets, starts[first], "right") - 1
+    return key.view(np.int64), row, starts[first] - offsets[row], size
+
+
 def may_repeat(run: bytes, length: int) -> bool:
     """Whether a run may hold two equal windows: all windows of a short run hold its middle, which then stands twice."""
     n = len(run) - length + 1
@@ -138,43 +173,75 @@ def _found(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in _FOUND.split(", ")])
 
 
+def _collapse(rows, length: int):
+    """Batches of the earliest of equal runs, and of spans of the others; rows: anchor, run, doc_id, start, th."""
+    seen: dict[tuple, tuple] = {}
+    out: list[tuple] = []
+
+    def kept():
+        return _found([(False, a, run, d, t, s, len(run) - length + 1) for (a, run), (d, s, t) in seen.items()])
+
+    for anchor, run, *place in rows:
+        key, place = (anchor, run), tuple(place)
+        other = seen.get(key)
+        if other is None:
+            seen[key] = place
+        else:
+            if place < other:
+                seen[key], place = place, other
+            if place[:2] != seen[key][:2]:
+                out.append((True, None, None, place[0], place[2], place[1], len(run) - length + 1))
+            else:  # rows that repeat a doc_id: both stay first
+                out.append((False, anchor, run, place[0], place[2], place[1], len(run) - length + 1))
+        if len(out) >= 50_000:
+            yield _found(out)
+            out = []
+        if len(seen) >= 50_000:
+            yield kept()
+            seen.clear()
+    if seen:
+        yield kept()
+    if out:
+        yield _found(out)
+    trim()
+
+
 def _collapsed(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Runs that may hold repeats: the earliest of equal ones that a task sees, and spans of the others."""
 
-    def emit(batches):
-        seen: dict[tuple, tuple] = {}
-        out: list[tuple] = []
+    def read(batches):
         for part in (part for batch in batches for part, _, _ in slices(batch)):
             for doc_id, th, text, own in zip(part.column("doc_id").to_pylist(), part.column("th").to_pylist(), part.column("text"), part.column("runs").to_pylist(), strict=True):
                 raw = text.as_buffer().to_pybytes()
                 for x in own:
-                    anchor, start, n = x["anchor"], x["start"], x["n"]
-                    key, place = (anchor, raw[start : start + n + length - 1]), (doc_id, start, th)
-                    other = seen.get(key)
-                    if other is None:
-                        seen[key] = place
-                    else:
-                        if place < other:
-                            seen[key], place = place, other
-                        if place[:2] != seen[key][:2]:
-                            out.append((True, None, None, place[0], place[2], place[1], n))
-                        else:  # rows that repeat a doc_id: both stay first
-                            out.append((False, anchor, key[1], *(place[0], place[2], place[1]), n))
-                    if len(out) >= 50_000:
-                        yield _found(out)
-                        out = []
-                if len(seen) >= 50_000:
-                    yield _found([(False, a, run, d, t, s, len(run) - length + 1) for (a, run), (d, s, t) in seen.items()])
-                    seen = {}
-        if seen:
-            yield _found([(False, a, run, d, t, s, len(run) - length + 1) for (a, run), (d, s, t) in seen.items()])
-        if out:
-            yield _found(out)
-        trim()
+                    yield x["anchor"], raw[x["start"] : x["start"] + x["n"] + length - 1], doc_id, x["start"], th
+
+    def emit(batches):
+        yield from _collapse(read(batches), length)
 
     return docs.join(wanted, ["doc_id", "th"]).select("doc_id", "th", "text", "runs").mapInArrow(emit, _FOUND)
 
 
+def _refined(runs_: DataFrame, depth: int, length: int) -> DataFrame:
+    """The parts of runs after so many halvings, collapsed likewise."""
+
+    def read(batches):
+        powers = _powers(1 << 16)
+        most = min(SLICE_BYTES, 1 << (_POSITION_BITS - 1))
+        for part, data, offsets in (x for batch in batches for x in slices(batch, "run", most)):
+            if len(data) > len(powers[0]) - 1:
+                powers = _powers(len(data))
+            raw, (doc_id, th, start) = data.tobytes(), (part.column(c).to_pylist() for c in ("doc_id", "th", "start"))
+            for key, row, a, n in zip(*(x.tolist() for x in refine(data, offsets, length, depth, powers)), strict=True):
+                at = int(offsets[row]) + a
+                yield key, raw[at : at + n + length - 1], doc_id[row], start[row] + a, th[row]
+
+    def emit(batches):
+        yield from _collapse(read(batches), length)
+
+    return runs_.select("run", "doc_id", "th", "start").mapInArrow(emit, _FOUND)
+
+
 def _packed(text: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarray:
     """The n (8 at most) bytes from each position on as a number in their order. The text has 8 bytes to spare."""
     wide = np.ndarray((len(text) - 7,), ">u8", text, strides=(1,))
@@ -271,21 +338,38 @@ def repeats_of(found: list[bytes], doc_id: np.ndarray, th: np.ndarray, start: np
     return doc_id[run], th[run], start[run] + at - offsets[run], n
 
 
+def _large(runs_: DataFrame, length: int) -> DataFrame:
+    """Anchors of groups too large for a task: many rows first, then many distinct runs among those."""
+    own = F.col("n").cast("long") + (length - 1)
+    size = (F.count("*") > GROUP) | (F.sum(own) > GROUP_BYTES)
+    many = runs_.groupBy("anchor").agg(size.alias("large")).where("large").select("anchor")
+    distinct = runs_.join(many, "anchor", "left_semi").select("anchor", own.alias("bytes"), F.xxhash64("run").alias("run")).distinct()
+    return distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("anchor")
+
+
+def _grouped(found: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Runs whose groups a task can hold, and spans of repeats that were found on the way."""
+    spans, fine, depth = [found.where("span")], [], 0
+    todo = found.where("NOT span")
+    while depth < depths(length):
+        large = materialise(_large(todo, length), "groups")
+        n_large = large.count()
+        if not n_large:
+            break
+        # a broadcast only of a list that has been counted
+        hint = F.broadcast if n_large <= BROADCAST_ROWS else lambda x: x
+        fine.append(todo.join(hint(large), "anchor", "left_anti"))
+        depth += 1
+        parts = materialise(_refined(todo.join(hint(large), "anchor", "left_semi"), depth, length), "refined")
+        spans.append(parts.where("span"))
+        todo = parts.where("NOT span")
+    return [*fine, todo], spans
+
+
 def _by_group(runs_: DataFrame, length: int) -> DataFrame:
     """doc_id, th, start, n of the repeats among runs, found within each anchor's group."""
-    spark = runs_.sparkSession
-    big = materialise(runs_.groupBy("anchor").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("blocks")).where("blocks > 1"), "groups")
-    n_big, lone = big.count(), F.lit(0).cast("int")
-    if n_big:
-        # a broadcast only of a list that has been counted
-        dealt = runs_.join(F.broadcast(big) if n_big <= BROADCAST_ROWS else big, "anchor", "left")
-        block = F.pmod(F.xxhash64("doc_id", "start"), F.col("blocks")).cast("int")
-        pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, block).alias("a"), F.greatest(k, block).alias("b")))
-        dealt = dealt.withColumn("pair", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(lone.alias("a"), lone.alias("b")))).otherwise(pairs)))
-        dealt = dealt.select("anchor", F.col("pair.a").alias("a"), F.col("pair.b").alias("b"), "run", "doc_id", "th", "start")
-    else:
-        dealt = runs_.select("anchor", lone.alias("a"), lone.alias("b"), "run", "doc_id", "th", "start")
-    dealt = dealt.repartition(n_tasks(spark), "anchor", "a", "b").sortWithinPartitions("anchor", "a", "b")
+    dealt = runs_.select("anchor", "run", "doc_id", "th", "start")
+    dealt = dealt.repartition(n_tasks(runs_.sparkSession), "anchor").sortWithinPartitions("anchor")
 
     def search(batches):
         held: list[tuple] = []  # distinct runs of groups that have two or more, or a run that may hold repeats of its own
@@ -311,14 +395,14 @@ def _by_group(runs_: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in columns[:3]] + [pa.array(columns[3].astype(np.int32))], ["doc_id", "th", "start", "n"])
 
         for batch in batches:
-            for anchor, a, b, run, doc_id, th, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (anchor, a, b) != last:
+            for anchor, run, doc_id, th, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if anchor != last:
                     close()
-                    last = (anchor, a, b)
-                    if size > BATCH or len(late) > 100_000:
-                        yield done()
-                        trim()
-                        size = 0
+                    last = anchor
+                if size > BATCH or len(late) > 100_000:
+                    yield done()
+                    trim()
+                    size = 0
                 place, other = (doc_id, start, th), group.get(run)
                 if other is None:
                     group[run] = place
@@ -345,8 +429,9 @@ def repeats(docs: DataFrame, length: int = MIN_LENGTH) -> DataFrame:
     discard(every)
     found = materialise(_collapsed(docs, wanted, length), "collapsed")
     discard(wanted)
-    late = _by_group(found.where("NOT span").drop("span", "n"), length)
-    spans = found.where("span").select("doc_id", "th", "start", "n").unionByName(late)
+    fine, spans = _grouped(found, length)
+    late = _by_group(reduce(DataFrame.unionByName, fine), length)
+    spans = reduce(DataFrame.unionByName, (x.select("doc_id", "th", "start", "n") for x in spans)).unionByName(late)
     spans = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("end"))).alias("spans"))
     spans = materialise(spans, "spans")
     discard(found)

@@ -55,9 +55,10 @@ def test_repeated_strings_of_a_text():
         assert sorted(map(sorted, found.values())) == sorted(sorted(x) for x in want.values() if len(x) > 1)
 
 
-@pytest.mark.parametrize("group", [8192, 3])
-def test_against_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize(("group", "size"), [(8192, 1 << 22), (3, 1 << 22), (8192, 600), (1, 1)])
+def test_against_brute_force(spark, monkeypatch, group, size):
     monkeypatch.setattr(suffix, "GROUP", group)
+    monkeypatch.setattr(suffix, "GROUP_BYTES", size)
     docs = corpus()
     df = spark.createDataFrame([(d, t, None, None, 0, "clash", "clash") for d, t in docs], SCHEMA).repartition(3)
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix.op6(df).collect()}
@@ -96,6 +97,24 @@ def test_repeats_within_one_short_run(spark, docs):
     assert got == brute(docs, suffix.MIN_LENGTH) and got[1][1] > 0
 
 
+def test_refined_groups_keep_equal_windows_together():
+    rng = random.Random(4)
+    core = "".join(rng.choices("abc", k=90))
+    texts = ["".join(rng.choices("ab", k=60)) + core + "".join(rng.choices("ab", k=60)) for _ in range(60)] + ["z" * 300, "xy" * 130]
+    raw = "".join(texts).encode()
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in texts])))
+    data, powers = np.frombuffer(raw, np.uint8), suffix._powers(len(raw))
+    for depth in range(suffix.depths(100) + 1):
+        groups, cells = {}, {}
+        for key, row, a, n in zip(*(x.tolist() for x in suffix.refine(data, offsets, 100, depth, powers)), strict=True):
+            for s in range(a, a + n):
+                window = raw[offsets[row] + s : offsets[row] + s + 100]
+                assert (row, s) not in cells and groups.setdefault(window, key) == key
+                cells[row, s] = key
+        assert set(cells) == {(r, s) for r, x in enumerate(texts) for s in range(len(x) - 99)}
+    assert len(set(groups.values())) == len(groups)  # in the end a group's windows are equal
+
+
 def test_runs_left_out_hold_no_repeat():
     rng = random.Random(8)
     for _ in range(300):
