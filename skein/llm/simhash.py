@@ -4,8 +4,10 @@ A fingerprint's 64 bits fall into four blocks of 16. If two fingerprints differ
 equal, and one of the two 24-bit halves of the other three blocks has at most one error: eight tables. There a key
 is the equal block with the index of the codeword, in the perfect binary Golay code, nearest to 23 bits of the half.
 A word has one nearest codeword; the words one bit away have one or six between them. Each fingerprint sends
-its own codeword's key to one side of an equi-join and all keys of its neighbourhood to the other, so that any two
-within reach meet. The join verifies the distance, each task thins its links to a forest, and components follow.
+its own codeword's key and all keys of its neighbourhood, so that any two within reach meet at the own key of one.
+All that share a key meet in one task, which compares them and sends a forest; no pairs are sent. A key with more than
+a task holds is narrowed: two within reach differ in three of its free bits at most, so of four pieces of these one is
+equal, and the pieces' values are the new keys. Components of all forests follow.
 
 Equal fingerprints are one node, so copies are never paired. Null texts count as empty: fingerprint zero. A very long
 text is hashed whole, its shingles in one array. Rows that repeat a doc_id are told apart by nothing but their texts;
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mixed, n_tasks, ragged, texts
-from .graph import _forest, components, forests
+from .graph import _forest, components
 
 REACH = 3
 WORDS = 3
@@ -42,9 +44,9 @@ SEEDS = 5
 #: Texts, and bytes of text, of a candidate component beyond which it is dealt out in blocks.
 MEMBERS = 1024
 BYTES = 4 << 20
-#: Fingerprints with one key beyond which they are linked one after another, and rows that a task compares at once.
+#: Fingerprints with one key beyond which they are linked one after another, and rows that a task holds: a key with more is narrowed.
 FEW = 16
-MET_ROWS = 1 << 18
+MET_ROWS = 1 << 17
 #: The Golay code's generator polynomial.
 GENERATOR = 0xC75
 
@@ -120,8 +122,8 @@ def tables(fp: np.ndarray):
             yield np.uint64((2 * i + half) << 28) | blocks[i] << np.uint64(12), (rest >> np.uint64(24 * half) & np.uint64(0x7FFFFF)).astype(np.uint32)
 
 
-def keys(fps: DataFrame, near: bool) -> DataFrame:
-    """key, fp, own: keys of the own codewords, or, if near, of the codewords of all words at most one bit away."""
+def keys(fps: DataFrame) -> DataFrame:
+    """key, fp, own: keys of the codewords of all words at most one bit away, and whether it is that of the own codeword."""
 
     def send(batches):
         code = Golay()
@@ -130,26 +132,32 @@ def keys(fps: DataFrame, near: bool) -> DataFrame:
             signed = batch.column("fp").to_numpy(zero_copy_only=False)
             fp = signed.view(np.uint64)
             for base, word in tables(fp):
-                if near:
-                    found = np.sort(code.index((word[:, None] ^ flips).ravel()).reshape(len(fp), -1), axis=1)
-                    new = np.concatenate((np.ones((len(fp), 1), bool), found[:, 1:] != found[:, :-1]), axis=1)
-                    key, fps = (base[:, None] | found.astype(np.uint64))[new], np.broadcast_to(signed[:, None], found.shape)[new]
-                    own = (found == code.index(word)[:, None])[new]
-                else:
-                    key, fps, own = base | code.index(word).astype(np.uint64), signed, np.ones(len(fp), bool)
+                found = np.sort(code.index((word[:, None] ^ flips).ravel()).reshape(len(fp), -1), axis=1)
+                new = np.concatenate((np.ones((len(fp), 1), bool), found[:, 1:] != found[:, :-1]), axis=1)
+                key, fps = (base[:, None] | found.astype(np.uint64))[new], np.broadcast_to(signed[:, None], found.shape)[new]
+                own = (found == code.index(word)[:, None])[new]
                 yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(np.ascontiguousarray(fps)), pa.array(own)], ["key", "fp", "own"])
 
     return fps.select("fp").mapInArrow(send, "key long, fp long, own boolean")
 
 
-def links(fps: DataFrame, reach: int = REACH) -> DataFrame:
-    """a and b with the links' components, from distinct fingerprints (fp)."""
-    if reach > REACH:
-        raise ValueError(f"the tables find at most {REACH} differing bits")
-    left = keys(fps, False).select("key", F.col("fp").alias("a"))
-    right = keys(fps, True).select("key", F.col("fp").alias("b"))
-    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= reach))
-    return forests(met)
+def narrowed(late: DataFrame) -> DataFrame:
+    """key, fp, own and free of fingerprints under four new keys each; free has the bits in which those of a key may differ."""
+
+    def send(batches):
+        for batch in batches:
+            key, signed, free = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "free"))
+            for mask in np.unique(free).tolist():
+                rows = free == mask
+                fp, base = signed[rows].view(np.uint64), key[rows].view(np.uint64)
+                for piece in np.array_split([b for b in range(64) if mask >> b & 1], REACH + 1):
+                    bits = sum(1 << b for b in piece.tolist())
+                    new = mixed(mixed(base + np.uint64(bits)) ^ (fp & np.uint64(bits)))
+                    left = np.full(len(fp), (mask % (1 << 64)) & ~bits, np.uint64).view(np.int64)
+                    columns = [pa.array(x) for x in (new.view(np.int64), signed[rows], np.ones(len(fp), bool), left)]
+                    yield pa.RecordBatch.from_arrays(columns, ["key", "fp", "own", "free"])
+
+    return late.select("key", "fp", "free").mapInArrow(send, "key long, fp long, own boolean, free long")
 
 
 def _connected(fp: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,42 +191,67 @@ def _within(key: np.ndarray, fp: np.ndarray, own: np.ndarray, reach: int) -> tup
     return _forest(a, b) if len(a) else (a, b)
 
 
-def forest_links(fps: DataFrame, reach: int = REACH) -> DataFrame:
-    """a and b with the components of links(), for dense groups: all that share a key meet in one task, and no pairs are sent."""
-    if reach > REACH:
-        raise ValueError(f"the tables find at most {REACH} differing bits")
-
-    def meet(batches):
-        held: list[tuple] = []
-        rows = 0
-
-        def found(columns):
-            a, b = _within(columns[0], columns[1].view(np.uint64), columns[2], reach)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-
-        for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "fp", "own")))
-            rows += len(batch)
-            if rows < MET_ROWS:
+def _meet(batches):
+    """a and b: links of rows that share a key, by which they are sorted; key, fp and free: rows of a key with too many."""
+    names = ["a", "b", "key", "fp", "free"]
+
+    def found(columns):
+        a, b = _within(columns[0], columns[1].view(np.uint64), columns[2], REACH)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *[pa.nulls(len(a), pa.int64())] * 3], names)
+
+    def late(columns):
+        return pa.RecordBatch.from_arrays([*[pa.nulls(len(columns[0]), pa.int64())] * 2, *(pa.array(columns[i]) for i in (0, 1, 3))], names)
+
+    held: list[tuple] = []
+    rows, many = 0, None  # many: a key whose rows go on unheld
+    for batch in batches:
+        columns = [batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names]
+        if len(columns) == 3:  # the first keys: the block in the key is equal, the others are free
+            block = (columns[0] >> 29).astype(np.uint64)
+            columns.append(~(np.uint64(0xFFFF) << (np.uint64(16) * block)).view(np.int64))
+        if many is not None:
+            n = int(np.searchsorted(columns[0], many, "right"))
+            if n:
+                yield late([x[:n] for x in columns])
+                columns = [x[n:] for x in columns]
+            if not len(columns[0]):
                 continue
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on
-            if end:
-                yield found([x[:end] for x in columns])
+            many = None
+        held.append(tuple(columns))
+        rows += len(columns[0])
+        if rows < MET_ROWS:
+            continue
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        end = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on
+        if end:
+            yield found([x[:end] for x in columns])
             held = [tuple(x[end:].copy() for x in columns)]
-            rows = 0
-        if held:
-            yield found([np.concatenate(x) for x in zip(*held, strict=True)])
-
-    sent = keys(fps, True).repartition("key").sortWithinPartitions("key")
-    return sent.mapInArrow(meet, "a long, b long")
-
-
-def near_duplicates(docs: DataFrame, reach: int = REACH) -> DataFrame:
+            rows -= end
+        else:
+            yield late(columns)
+            many, held, rows = int(columns[0][0]), [], 0
+    if held:
+        yield found([np.concatenate(x) for x in zip(*held, strict=True)])
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """a and b with the components of all pairs within reach, from distinct fingerprints (fp)."""
+    sent, parts = keys(fps), []
+    while True:
+        met = sent.repartition("key").sortWithinPartitions("key").mapInArrow(_meet, "a long, b long, key long, fp long, free long")
+        met = materialise(met, "met")
+        parts.append(met.where("key IS NULL").select("a", "b"))
+        late = met.where("key IS NOT NULL")
+        if late.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        sent = narrowed(late)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id of those that links join."""
     prints = materialise(fingerprints(docs), "fingerprints")
     distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(distinct, reach))
+    found = components(links(distinct))
     rooted = distinct.join(found, distinct["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     by_print = rooted.join(least, "root").select("fp", "component_id")
@@ -314,7 +347,7 @@ def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARIT
         printed = nodes.select("th", F.col("fps")[k].alias("fp"))
         by_print = materialise(printed.groupBy("fp").agg(F.min("th").alias("node")), "by-print")
         equal = printed.join(by_print, "fp").where("th != node").select(F.col("th").alias("a"), F.col("node").alias("b"))
-        close = forest_links(by_print)
+        close = links(by_print)
         for end in ("a", "b"):
             close = close.join(by_print.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
         met.append(materialise(equal.unionByName(close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "met"))

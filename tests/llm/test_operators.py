@@ -139,7 +139,7 @@ def test_golay_tables_miss_no_pair_within_reach(spark):
         assert linked[a] == linked[b]
 
 
-@pytest.mark.parametrize(("few", "rows"), [(16, 1 << 18), (1, 100)])
+@pytest.mark.parametrize(("few", "rows"), [(16, 1 << 17), (1, 100), (4, 24)])
 def test_links_of_dense_groups(spark, monkeypatch, few, rows):
     """The components of all pairs within reach, where many fingerprints share their keys."""
     monkeypatch.setattr(simhash, "FEW", few)
@@ -152,7 +152,12 @@ def test_links_of_dense_groups(spark, monkeypatch, few, rows):
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3]
     df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
     place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-    found = [(place[r["a"]], place[r["b"]]) for r in simhash.forest_links(df).collect()]
+    many = []
+    monkeypatch.setattr(simhash, "narrowed", lambda late, narrowed=simhash.narrowed: many.append(late.count()) or narrowed(late))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8" if rows < 60 else "10000")
+    found = [(place[r["a"]], place[r["b"]]) for r in simhash.links(df).collect()]
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert bool(many) == (rows < 60) and len(many) < 8
     assert len(pairs) > 1000 and roots(range(len(fps)), found) == roots(range(len(fps)), pairs)
 
 
