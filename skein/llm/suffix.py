@@ -338,13 +338,24 @@ def repeats_of(found: list[bytes], doc_id: np.ndarray, th: np.ndarray, start: np
     return doc_id[run], th[run], start[run] + at - offsets[run], n
 
 
-def _large(runs_: DataFrame, length: int) -> DataFrame:
+def _listed(anchors: DataFrame) -> DataFrame | None:
+    """Anchors, written, to be broadcast only if so few have been counted; None without any."""
+    stored = materialise(anchors, "groups")
+    n = stored.count()
+    return (F.broadcast(stored) if n <= BROADCAST_ROWS else stored) if n else None
+
+
+def _large(runs_: DataFrame, length: int) -> DataFrame | None:
     """Anchors of groups too large for a task: many rows first, then many distinct runs among those."""
-    own = F.col("n").cast("long") + (length - 1)
-    size = (F.count("*") > GROUP) | (F.sum(own) > GROUP_BYTES)
-    many = runs_.groupBy("anchor").agg(size.alias("large")).where("large").select("anchor")
-    distinct = runs_.join(many, "anchor", "left_semi").select("anchor", own.alias("bytes"), F.xxhash64("run").alias("run")).distinct()
-    return distinct.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where((F.col("n") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("anchor")
+
+    def large(df: DataFrame) -> DataFrame:
+        return df.groupBy("anchor").agg(F.count("*").alias("rows"), F.sum("bytes").alias("bytes")).where((F.col("rows") > GROUP) | (F.col("bytes") > GROUP_BYTES)).select("anchor")
+
+    sized = runs_.withColumn("bytes", F.col("n").cast("long") + (length - 1))
+    many = _listed(large(sized))
+    if many is None:
+        return None
+    return _listed(large(sized.join(many, "anchor", "left_semi").select("anchor", "bytes", F.xxhash64("run").alias("run")).distinct()))
 
 
 def _grouped(found: DataFrame, length: int) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -352,15 +363,12 @@ def _grouped(found: DataFrame, length: int) -> tuple[list[DataFrame], list[DataF
     spans, fine, depth = [found.where("span")], [], 0
     todo = found.where("NOT span")
     while depth < depths(length):
-        large = materialise(_large(todo, length), "groups")
-        n_large = large.count()
-        if not n_large:
+        large = _large(todo, length)
+        if large is None:
             break
-        # a broadcast only of a list that has been counted
-        hint = F.broadcast if n_large <= BROADCAST_ROWS else lambda x: x
-        fine.append(todo.join(hint(large), "anchor", "left_anti"))
+        fine.append(todo.join(large, "anchor", "left_anti"))
         depth += 1
-        parts = materialise(_refined(todo.join(hint(large), "anchor", "left_semi"), depth, length), "refined")
+        parts = materialise(_refined(todo.join(large, "anchor", "left_semi"), depth, length), "refined")
         spans.append(parts.where("span"))
         todo = parts.where("NOT span")
     return [*fine, todo], spans
