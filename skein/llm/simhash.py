@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, mixed, n_tasks, ragged, texts
-from .graph import _forest, components
+from .graph import FOREST_EDGES, _forest, components, forests
 
 REACH = 3
 WORDS = 3
@@ -348,6 +348,8 @@ def similar(docs: DataFrame, words: int = SHINGLE, similarity: float = SIMILARIT
         by_print = materialise(printed.groupBy("fp").agg(F.min("th").alias("node")), "by-print")
         equal = printed.join(by_print, "fp").where("th != node").select(F.col("th").alias("a"), F.col("node").alias("b"))
         close = links(by_print)
+        # each task that saw a group has sent a forest of it; few tasks make one of these before they are joined
+        close = forests(close.coalesce(1 + close.count() // FOREST_EDGES))
         for end in ("a", "b"):
             close = close.join(by_print.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
         met.append(materialise(equal.unionByName(close.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))), "met"))

@@ -201,6 +201,21 @@ def test_similar_texts_by_brute_force(spark, monkeypatch, members):
     assert simhash.similar(df.limit(0)).count() == 0
 
 
+def test_similar_texts_are_linked_by_a_forest_of_each_seed(spark, monkeypatch):
+    """Links joined to texts number less than these for each seed, however many tasks meet a group of near copies."""
+    rng = random.Random(8)
+    whole = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    texts = [" ".join(whole[:k] + [f"new{k}"] + whole[k + 1 :]) for k in range(200)] + [" ".join(rng.choices(whole, k=50))]
+    edges = []
+    monkeypatch.setattr(simhash, "components", lambda e, components=simhash.components: edges.append(e.count()) or components(e))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else one task meets all
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar(df, seeds=2).collect()}
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: 0 if i < 200 else i for i in range(len(texts))}
+    assert 199 <= edges[0] <= 2 * 199
+
+
 def test_components_of_a_chain(spark):
     rng = random.Random(2)
     order = rng.sample(range(1000), 400)
